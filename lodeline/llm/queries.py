@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.llm import mixing, simhash
+from lodeline.llm import mixing, simhash, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = token_output.write_tokens(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_output.read_tokens(folder, index)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(spark, table(spark, sf_dir, "documents"))
 
@@ -23,7 +34,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash_near_dedup, op9_mix_sources)}
+    return {f.__name__: f for f in (op7_token_output, op8_simhash_near_dedup, op9_mix_sources)}
 
 
 #: Sources by code point, in turn 3, 1 and 2; the level by running sums; cuts by running sums in hash order.
