@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeline.llm import mixing, simhash, token_output
+from lodeline.llm import lang_id, mixing, quality, simhash, token_output
+from lodeline.llm.common import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.train(docs.where(remainder("doc_id", 3) != 1))
+    found = lang_id.predict(spark, docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -33,8 +42,14 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(spark, table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_output, op8_simhash_near_dedup, op9_mix_sources)}
+    return {f.__name__: f for f in (op5_language_id, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
 
 
 #: Sources by code point, in turn 3, 1 and 2; the level by running sums; cuts by running sums in hash order.
