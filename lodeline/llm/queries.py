@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import lang_id, mixing, quality, simhash, token_output
+from lodeline.llm import embed_dedup, lang_id, mixing, quality, simhash, token_output
 from lodeline.llm.common import remainder
 
 
@@ -22,6 +22,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -49,7 +54,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
+    return {f.__name__: f for f in (op5_language_id, op6_embedding_near_dedup, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
 
 
 #: Sources by code point, in turn 3, 1 and 2; the level by running sums; cuts by running sums in hash order.
