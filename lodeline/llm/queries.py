@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import embed_dedup, lang_id, mixing, quality, simhash, token_output
+from lodeline.llm import chat_format, embed_dedup, lang_id, mixing, quality, simhash, token_output
 from lodeline.llm.common import remainder
 
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(same).alias("text"),
+    )
+    return chat_format.digest(chat_format.format_conversations(rows.unionByName(probe)))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_id.train(docs.where(remainder("doc_id", 3) != 1))
@@ -54,8 +66,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op6_embedding_near_dedup, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
-
+    return {f.__name__: f for f in (op4_chat_format, op5_language_id, op6_embedding_near_dedup, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
+
+
+#: Turns as they are; a conversation is escaped if a text of it holds a closing string or an escape.
+OP4 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, bool_or(contains(text, '[/INST]') OR contains(text, '[/ANS]') OR contains(text, '[/SYS]') OR contains(text, '[/ROLE]')
+                    OR contains(text, chr(92) || '0') OR contains(text, chr(92) || '1') OR contains(text, chr(92) || '2')) OVER (PARTITION BY conv_id) AS escaped
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(7 + sum(CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 11 WHEN 'system' THEN 11 ELSE 19 + length(role) END + length(text)
+                + CASE WHEN escaped THEN 3 * length(text) - length(replace(replace(replace(text, chr(92), ''), '<', ''), '[', '')) - 2 * length(text) ELSE 0 END) AS BIGINT) AS formatted_chars,
+       true AS round_trip
+FROM marked GROUP BY conv_id
+"""
 
 #: Sources by code point, in turn 3, 1 and 2; the level by running sums; cuts by running sums in hash order.
 OP9 = r"""
@@ -92,4 +124,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": OP9}
+    return {"op4_chat_format": OP4, "op9_mix_sources": OP9}
