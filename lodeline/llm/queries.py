@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat_format, decontaminate, embed_dedup, lang_id, license_scan, mixing, quality, simhash, token_output
+from lodeline.llm import chat_format, decontaminate, embed_dedup, lang_id, license_scan, lm_score, mixing, quality, simhash, token_output
 from lodeline.llm.common import remainder
 
 
@@ -23,6 +23,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    return lm_score.score(spark, docs)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     same = "</s>[INST] ok [/INST]"
@@ -74,7 +79,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_license_scan, op4_chat_format, op5_language_id, op6_embedding_near_dedup, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_license_scan, op3_lm_score, op4_chat_format, op5_language_id, op6_embedding_near_dedup, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
 
 
 #: Turns as they are; a conversation is escaped if a text of it holds a closing string or an escape.
