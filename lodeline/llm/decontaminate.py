@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.llm.common import staged
+
 #: Words of a window, and words an item needs to be looked for.
 WINDOW = 8
 LEAST_WORDS = 3
@@ -14,7 +16,7 @@ COVERAGE = 0.3
 BROADCAST_ROWS = 200_000
 
 #: Private characters: number, unit and name placeholders, and the mark inside a number.
-NUMBER, UNIT, NAME, INNER = "", "", "", ""
+NUMBER, UNIT, NAME, INNER = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Units that may follow a number.
 UNITS = (
     "mm cm dm m km in ft yd mi mg g kg t oz lb lbs ml cl dl l kl ms s sec secs second seconds min mins minute minutes "
@@ -22,6 +24,8 @@ UNITS = (
     "c f k pa kpa bar mph kmh usd eur gbp dollar dollars cent cents euro euros percent bytes kb mb gb tb "
     "meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres"
 )
+#: What separates words: ASCII and Latin-1 marks, general and CJK punctuation, and white space.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u1680\u2000-\u206F\u2E00-\u2E7F\u3000-\u303F\uFE30-\uFE4F\uFF01-\uFF0F]+"
 _UNIT_PATTERN = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
 
 
@@ -31,13 +35,13 @@ def typed_tokens(text: Column) -> Column:
     A name is a capitalised word that follows a word or a comma rather than
     the end of a sentence. Punctuation ends a word and is left out.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME + INNER, "    ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{INNER}]", " ")
     t = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", INNER)
     t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},;] )\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])", NAME + "$0")
     t = F.lower(t)
     t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{INNER}])\p{{N}}[\p{{N}}{INNER}]*", NUMBER + "$0")
     t = F.regexp_replace(t, rf"({NUMBER}[\p{{N}}{INNER}]+)[ -]?({_UNIT_PATTERN})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    return F.array_remove(F.split(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{UNIT}{NAME}{INNER}]+"), "")
+    return F.array_remove(F.split(t, _GAP), "")
 
 
 def _is_slot(token: Column) -> Column:
@@ -50,18 +54,32 @@ def _template(token: Column) -> Column:
 
 
 def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``rows`` (tokens, and others) with ``w`` (size, at, h) for every window, by position; tokens stay beside it."""
-    typed = rows.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(_template(t))))
-
-    def of(size: int) -> Column:
-        starts = F.when(F.size("hashes") >= size, F.sequence(F.lit(1), F.size("hashes") - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(size), F.slice("hashes", i, F.lit(size))))
+    """``rows`` (tokens, and others) with w, at and h, a window's size, position and hash, for every window.
 
-    parts = [typed.select("*", F.lit(size).alias("w"), F.posexplode(of(size)).alias("at", "h")) for size in lengths]
+    An exploded row repeats all other columns: ``rows`` should have few and small ones beside its tokens, which are left out.
+    """
+    typed = rows.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(_template(t))))
+    shift = lambda k: F.zip_with("hashes", F.slice("hashes", F.lit(k + 1), F.size("hashes")), lambda a, b: F.xxhash64(a, b))
+
+    def of(size: int) -> DataFrame:
+        """Hashes of all windows of a size: of two halves where it is a power of two, else of its words one by one."""
+        if size & (size - 1) == 0:
+            made, k = typed, 1
+            while k < size:
+                made, k = made.withColumn("hashes", shift(k)), 2 * k
+            whole = F.slice("hashes", F.lit(1), F.greatest(F.size("tokens") - (size - 1), F.lit(0)))
+        else:
+            made = typed
+            starts = F.when(F.size("hashes") >= size, F.sequence(F.lit(1), F.size("hashes") - (size - 1))).otherwise(F.array().cast("array<int>"))
+            whole = F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, F.lit(size))))
+        kept = [c for c in rows.columns if c != "tokens"]
+        return made.select(*kept, F.lit(size).alias("w"), F.posexplode(whole).alias("at", "h"))
+
+    parts = [of(size) for size in lengths]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("hashes")
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW) -> DataFrame:
@@ -92,21 +110,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     longs = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(window)).alias("n")).distinct().orderBy("n").collect()]
     if not longs:
         longs = [window]
-    wanted = _windows(items, longs).where((F.col("w") == window) | (F.size("tokens") == F.col("w")))
     words = F.slice("tokens", F.col("at") + 1, F.col("w"))
+    keyed = _windows(items.select("item_id", "version", "tokens"), longs).join(items, ["item_id", "version"])
+    wanted = keyed.where((F.col("w") == window) | (F.size("tokens") == F.col("w")))
     item_windows = wanted.select("item_id", "version", F.col("w").alias("size"), F.col("at").alias("item_at"), "h", words.alias("item_words")).where(
         2 * F.size(F.filter("item_words", lambda t: ~_is_slot(t))) >= F.col("size")
     )
+    item_windows = staged(docs.sparkSession, item_windows, "item-windows")
     totals = item_windows.groupBy("item_id", "version").agg(F.count("*").alias("item_windows"))
     known = item_windows.count()
-    if known <= BROADCAST_ROWS:
-        item_windows, totals = F.broadcast(item_windows), F.broadcast(totals)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), typed_tokens(F.col("text").cast("string")).alias("tokens")).where(F.size("tokens") >= min(longs))
+    hint = F.broadcast if known <= BROADCAST_ROWS else (lambda df: df)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = _windows(texts.select("doc_id", typed_tokens(F.col("text")).alias("tokens")), longs)
+    pairs = made.join(hint(item_windows.select("item_id", "version", "size", "item_at", "h")), "h").where(F.col("w") == F.col("size"))
+    hits = staged(docs.sparkSession, pairs.select("doc_id", "at", "w", "item_id", "version", "item_at"), "window-hits")
+    ids = hits.select("doc_id").distinct()
+    held = texts.join(F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
     found = (
-        _windows(texts, longs)
-        .join(item_windows, "h")
-        .where(F.col("w") == F.col("size"))
-        .select("doc_id", "item_id", "version", "item_at", "at", "item_words", words.alias("doc_words"))
+        hits.join(held.select("doc_id", typed_tokens(F.col("text")).alias("tokens")), "doc_id")
+        .select("doc_id", "item_id", "version", "item_at", "at", words.alias("doc_words"))
+        .join(hint(item_windows), ["item_id", "version", "item_at"])
         .where(F.transform("item_words", _template) == F.transform("doc_words", _template))
     )
     slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda z: _is_slot(z["item_words"]))
@@ -124,7 +147,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     )
     share = F.col("matched_windows") / F.col("item_windows")
     return (
-        counted.join(totals, ["item_id", "version"])
+        counted.join(hint(totals), ["item_id", "version"])
         .withColumn("coverage", share)
         .where(F.col("coverage") >= coverage)
         .select("doc_id", "item_id", "coverage", "matched_windows", "item_windows", "reparameterised")
