@@ -11,6 +11,25 @@ from lodeline.operators import qa, retrieval, routing
 from lodeline.sources.staging import staged
 
 
+#: Ways to answer that an evaluation compares.
+CONFIGS = (
+    "bm25_only", "dense_only", "hybrid_no_routing", "routed_grounded", "adaptive_route_retry", "no_evidence_checker", "no_router", "no_citation_grounding", "no_metadata_filter",
+)
+#: The plan of configurations that don't plan by type.
+FIXED_PLAN = {"top_k": 5, "candidate_k": 60, "bm25_weight": 0.5, "dense_weight": 0.5, "rerank_top_n": 0, "combination": "weighted_sum", "context_window": 0}
+FIXED_STRATEGY = {"bm25_only": "bm25", "dense_only": "dense", "hybrid_no_routing": "hybrid", "no_router": "hybrid"}
+
+
+def config_names(asked: list[str] | None = None) -> list[str]:
+    """Names of configurations from items that may hold several between commas; ``all`` stands for all of them."""
+    names = [n.strip() for item in asked or ["routed_grounded"] for n in item.split(",") if n.strip()]
+    if "all" in names:
+        return list(CONFIGS)
+    if unknown := [n for n in names if n not in CONFIGS]:
+        raise ValueError(f"unknown configurations: {', '.join(unknown)}")
+    return list(dict.fromkeys(names))
+
+
 @dataclass
 class Engine:
     """A corpus, its sparse index and, where there are any, vectors: chunk_idx, embedding; and query_id, embedding."""
@@ -43,13 +62,19 @@ class Engine:
             asked = asked.withColumn("filters", F.expr(f"struct({kinds}, {none}, {none}, {none}, {none}, {none}, cast(null as map<string,array<string>>))"))
             corpus = self.corpus
         spark = asked.sparkSession
-        sparse = staged(spark, retrieval.bm25(self.index, asked, keep, corpus).select("query_id", "chunk_idx", "score", "rank"), "sparse")
-        if self.vectors is not None and self.query_vectors is not None:
-            dense = retrieval.dense(self.vectors, self.query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), keep)
+        ranks = ("query_id", "chunk_idx", "score", "rank")
+        sparse = dense = None
+        if plan.strategy != "dense":
+            sparse = staged(spark, retrieval.bm25(self.index, asked, keep, corpus).select(*ranks), "sparse")
+        if plan.strategy != "bm25" and self.vectors is not None and self.query_vectors is not None:
+            dense = retrieval.dense(self.vectors, self.query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), keep).select(*ranks)
+        none = asked.where(F.lit(False)).select("query_id", F.lit(0).cast("long").alias("chunk_idx"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        if plan.strategy in ("bm25", "dense"):
+            hits = next((found for found in (sparse, dense) if found is not None), none)
         else:
-            dense = sparse.where(F.lit(False))
-        fuse = retrieval.fuse_rrf if plan.combination == "rrf" else retrieval.fuse_weighted
-        hits = staged(spark, fuse(sparse, dense, (plan.bm25_weight, plan.dense_weight), keep).select("query_id", "chunk_idx", "score", "rank"), "fused")
+            fuse = retrieval.fuse_rrf if plan.combination == "rrf" else retrieval.fuse_weighted
+            fused = fuse(sparse, none if dense is None else dense, (plan.bm25_weight, plan.dense_weight), keep)
+            hits = staged(spark, fused.select(*ranks), "fused")
         if plan.strategy == "hybrid_rerank" and plan.rerank_top_n:
             hits = retrieval.rerank(hits, self.corpus, asked, plan.rerank_top_n).select("query_id", "chunk_idx", "score", "rank")
         hits = hits.where(F.col("rank") <= plan.top_k)
@@ -60,13 +85,39 @@ class Engine:
         extra = [F.col(n) if n else F.lit(None).cast("string").alias(c) for n, c in zip(names, ("chunk_id", "doc_id", "source_name", "section"))]
         return self.corpus.select("chunk_idx", "text", *extra).join(retrieval.small(hits), "chunk_idx")
 
-    def answer(self, questions: DataFrame, kind: str | None = None) -> DataFrame:
-        """Answers to ``questions`` (query_id, question), typed by the router unless ``kind`` names a column that has the type."""
+    def answer(self, questions: DataFrame, kind: str | None = None, config: str = "routed_grounded") -> DataFrame:
+        """Answers to ``questions`` (query_id, question), typed by the router unless ``kind`` names a column that has the type.
+
+        ``config`` is one of CONFIGS and leaves a part of the engine out, for
+        evaluation. Without vectors, ``dense_only`` finds nothing.
+        """
+        if config not in CONFIGS:
+            raise ValueError(f"unknown configuration: {config}")
+        if config == "adaptive_route_retry":
+            return self.answer_adaptively(questions)
         spark = questions.sparkSession
-        typed = staged(spark, questions.withColumn("query_type", F.col(kind) if kind else routing.query_type(F.col("question"))), "typed")
-        hits = staged(spark, self.with_text(self.retrieve(routing.with_plan(typed))), "hits")
-        assessed = staged(spark, qa.evidence(typed.select("query_id", "question", "query_type"), hits), "evidence")
-        return qa.quality(qa.answers(assessed, hits))
+        routed = F.lit("ambiguous") if config == "no_router" else F.col(kind) if kind else routing.query_type(F.col("question"))
+        typed = staged(spark, questions.withColumn("query_type", routed), "typed")
+        planned = routing.with_plan(typed)
+        if config in FIXED_STRATEGY:
+            planned = planned.withColumns({c: F.lit(v) for c, v in {**FIXED_PLAN, "strategy": FIXED_STRATEGY[config]}.items()})
+        if config in FIXED_STRATEGY or config == "no_metadata_filter":
+            planned = planned.withColumn("block_types", F.array().cast("array<string>"))
+        hits = staged(spark, self.with_text(self.retrieve(planned)), "hits")
+        check = qa.unchecked if config == "no_evidence_checker" else qa.evidence
+        assessed = staged(spark, check(typed.select("query_id", "question", "query_type"), hits), "evidence")
+        made = qa.answers(assessed, hits)
+        if config == "no_citation_grounding":
+            made = made.withColumn("citations", F.slice("citations", 1, 0))
+        return qa.quality(made)
+
+    def answer_all(self, questions: DataFrame, configs: list[str]) -> DataFrame:
+        """The answers of several configurations, with config_name: what qa_summary takes after a comparison with the expected ones."""
+        shared: DataFrame | None = None
+        for name in config_names(configs):
+            found = staged(questions.sparkSession, self.answer(questions, config=name).withColumn("config_name", F.lit(name)), name)
+            shared = found if shared is None else shared.unionByName(found, allowMissingColumns=True)
+        return shared
 
     def answer_adaptively(self, questions: DataFrame, attempts: int = 3, stop: float = 0.82, least: float = 0.40) -> DataFrame:
         """Tries further types for questions whose answer isn't good enough yet, and returns each one's best attempt.

@@ -215,10 +215,40 @@ DETECTION = """SELECT * FROM (VALUES ('table', 2, 1, 1, 0.666667, 0.666667, 0.66
 REGIONS = """SELECT * FROM (VALUES ('p', 0, 'table', 0.9), ('p', 2, 'table', 0.7), ('p', 3, 'figure', 0.6)) AS v(page, region, block_type, score)"""
 
 
+STABILITY = """SELECT CAST(3 AS BIGINT) AS runs, 0.998::DOUBLE AS success_rate_min, 1.0::DOUBLE AS success_rate_max, 0.965::DOUBLE AS iou50_micro_f1_min, 1.0::DOUBLE AS iou50_micro_f1_max,
+  0.818::DOUBLE AS iou75_micro_f1_min, 0.91::DOUBLE AS iou75_micro_f1_max, 0.757::DOUBLE AS latency_p95_sec_min, 2.5::DOUBLE AS latency_p95_sec_max,
+  'layout' AS dominant_backends, 'table,text' AS dominant_routes, true AS backend_consistent, false AS route_consistent"""
+OCR_TABLES = r"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS n FROM cut),
+placed AS (SELECT doc_id, n // 40 AS page_index, n % 40 AS line, text, 20.0::DOUBLE + (n % 40) * 12 + ((n % 40) // 5) * 30 AS y0 FROM lines WHERE trim(text) <> ''),
+rated AS (
+  SELECT *, y0 + 10 AS y1, trim(text) AS s, len(regexp_extract_all(text, '\S+')) AS w, len(regexp_extract_all(text, '[\p{L}\p{N}]')) AS known,
+    len(regexp_extract_all(text, '\p{Nd}')) AS digits, len(regexp_extract_all(text, '\p{Nd}+(?:[.,]\p{Nd}+)?')) >= 2 AS numeric FROM placed),
+kinds AS (
+  SELECT *, (w > 0 AND (w <= 3 OR (w <= 8 AND regexp_matches(text, '\b\d+(?:[.,]\d+)?\b')))) OR regexp_matches(s, '^(- |\* |• )')
+    OR (length(s) > 0 AND length(s) < 100 AND ((upper(s) = s AND lower(s) <> s) OR regexp_matches(s, '^[1-5]\.'))) AS structured FROM rated),
+windows AS (
+  SELECT *, y0 - lag(y1) OVER o AS gap, row_number() OVER o AS nth, count(*) OVER p AS total, avg(structured::INT) OVER p AS page_structured
+  FROM kinds WINDOW p AS (PARTITION BY doc_id, page_index), o AS (PARTITION BY doc_id, page_index ORDER BY y0)),
+clustered AS (SELECT *, sum(coalesce(gap > 18, false)::INT) OVER (PARTITION BY doc_id, page_index ORDER BY y0) AS cluster FROM windows WHERE total >= 6),
+groups AS (
+  SELECT doc_id, page_index, cluster, count(*) AS n_lines, any_value(total) AS total, min(y0) AS y0, max(y1) AS y1, avg(CASE WHEN known > 0 THEN digits / known ELSE 0 END) AS d,
+    avg(numeric::INT) AS m, avg(structured::INT) AS t, string_agg(text, chr(10) ORDER BY nth) AS text FROM clustered GROUP BY ALL),
+chosen AS (
+  SELECT *, 0.5 * n_lines + 12 * d + 10 * m + 8 * t + 2 * (400 / 600) + 4 * n_lines / total AS rated FROM groups
+  WHERE n_lines >= 4 AND (y1 - y0) / 300 >= 0.18 AND (d >= 0.10 OR m >= 0.35 OR t >= 0.65)),
+whole AS (
+  SELECT doc_id, page_index, -1 AS cluster, count(*) AS n_lines, any_value(total) AS total, min(y0) AS y0, max(y1) AS y1, 0.0 AS d, 0.0 AS m, 0.0 AS t, string_agg(text, chr(10) ORDER BY nth) AS text, -1.0 AS rated
+  FROM clustered WHERE total >= 20 AND page_structured >= 0.7 AND nth BETWEEN 3 AND total - 2 GROUP BY doc_id, page_index HAVING (max(y1) - min(y0)) / 300 >= 0.2),
+either AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY round(rated, 9) DESC, cluster) AS place FROM (SELECT * FROM chosen UNION ALL SELECT * FROM whole))
+SELECT doc_id, page_index::INT AS page_index, n_lines, y0, y1, md5(trim(text)) AS text_md5 FROM either WHERE place = 1 AND trim(text) <> ''"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "bm25_topk": BM25, "bm25_filtered": BM25_FILTERED, "dense_topk": DENSE, "fuse_weighted": FUSE_WEIGHTED, "fuse_rrf": FUSE_RRF, "context_expand": CONTEXT,
         "retrieval_eval": EVAL, "repeated_lines": REPEATED_LINES, "remove_repeated": REMOVE_REPEATED, "classify_lines": CLASSIFY, "noise_filter": NOISE,
         "markdown_render": MARKDOWN, "html_blocks": HTML, "token_f1_pairs": TOKEN_F1, "size_percentiles": PERCENTILES, "probe_modes": PROBE, "confusion_matrix": CONFUSION,
-        "class_f1": CLASS_F1, "feature_stats": FEATURES, "plan_questions": _plan(), "detection_f1": DETECTION, "region_dedup": REGIONS,
+        "class_f1": CLASS_F1, "feature_stats": FEATURES, "plan_questions": _plan(), "detection_f1": DETECTION, "region_dedup": REGIONS, "run_stability": STABILITY, "ocr_tables": OCR_TABLES,
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
-from lodeline.operators import ingest, metrics, qa, retrieval, routing
+from lodeline.operators import ingest, metrics, qa, retrieval, routing, scans
 from lodeline.sources.staging import staged
 
 QUESTIONS = (
@@ -278,10 +278,30 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.gates(summary, [("hit at 10", "hit", "min", 1.0), ("recall at 10", "recall", "min", 0.8), ("mrr at 10", "mrr", "min", 0.85), ("mrr limit", "mrr", "max", 0.5)]).select("name", F.round("actual", 6).alias("actual"), "expected", "passed")
 
 
+def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of metrics over three runs, with the dominant backend and route."""
+    rows = [(25, 1.0, 1.0, 0.818, 0.844, {"layout": 25}, {"table": 20, "text": 5}), (100, 1.0, 0.988, 0.87, 0.757, {"layout": 99, "ocr": 1}, {"table": 90, "text": 10}), (500, 0.998, 0.965, 0.91, 2.5, {"layout": 500}, {"text": 300, "table": 200})]
+    runs = spark.createDataFrame(rows, "run int, success_rate double, iou50_micro_f1 double, iou75_micro_f1 double, latency_p95_sec double, backend_counts map<string,int>, route_counts map<string,int>")
+    found = metrics.stability(runs)
+    return found.select(*(F.array_join(c, ",").alias(c) if c.startswith("dominant") else F.col(c) for c in found.columns))
+
+
+def ocr_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents laid out on pages of forty, twelve units apart and thirty after each fifth; the table-like group of each page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("line", "text"))
+    n = F.col("line").cast("double")
+    at = docs.select("doc_id", F.floor(F.col("line") / 40).cast("int").alias("page_index"), (F.col("line") % 40).alias("line"), "text", F.lit(0.9).alias("score"))
+    top = 20 + n * 12 + F.floor(n / 5) * 30
+    lines = at.withColumn("bbox", F.struct(F.lit(50.0).alias("x0"), top.alias("y0"), F.lit(450.0).alias("x1"), (top + 10).alias("y1")))
+    pages = lines.select("doc_id", "page_index", F.lit(600.0).alias("width"), F.lit(300.0).alias("height")).distinct()
+    found = scans.table_blocks(scans.confident(lines), pages)
+    return found.select("doc_id", "page_index", "n_lines", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         bm25_topk, bm25_filtered, dense_topk, fuse_weighted, fuse_rrf, context_expand, heuristic_rerank, retrieval_eval, repeated_lines, remove_repeated,
         classify_lines, noise_filter, markdown_render, ingest_chunks, html_blocks, probe_modes, route_questions, plan_questions, token_f1_pairs, evidence_scores,
-        grounded_answers, qa_summary, confusion_matrix, class_f1, feature_stats, size_percentiles, detection_f1, region_dedup, quality_gates,
+        grounded_answers, qa_summary, confusion_matrix, class_f1, feature_stats, size_percentiles, detection_f1, region_dedup, quality_gates, run_stability, ocr_tables,
     )
     return {f.__name__: f for f in found}

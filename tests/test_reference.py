@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
-from lodeline.operators import ingest, metrics, qa, retrieval, routing
+from lodeline.operators import ingest, metrics, qa, retrieval, routing, scans
 from lodeline.plans.answering import Engine
 from lodeline.plans.oracle import oracle_sql
 from lodeline.plans.queries import queries
@@ -201,6 +201,53 @@ def test_engine_and_retries(spark):
     assert "25 days" in found[1]["answer"] and found[2]["decision"] != "answer" and set(found) == {1, 2}
 
 
+def test_configurations(spark):
+    from lodeline.plans.answering import CONFIGS, config_names
+
+    assert config_names(["bm25_only, no_router", "bm25_only"]) == ["bm25_only", "no_router"] and config_names(["all"]) == list(CONFIGS)
+    with pytest.raises(ValueError, match="nothing"):
+        config_names(["nothing"])
+    c = retrieval.as_corpus(spark.createDataFrame([(0, "Leave is 25 days a year for each employee.", "en", "s"), (1, "Cats sleep.", "en", "s"), (2, "The office is in Lyon.", "en", "s")], "doc_id long, text string, lang string, source string"))
+    index = retrieval.build_index(c)
+    engine = Engine(c, retrieval.with_postings(staged(spark, index.postings, "postings"), index.size, index.mean_length))
+    asked = spark.createDataFrame([(1, "How many days of leave for an employee?"), (2, "Which quasar shines brightest?")], "query_id long, question string")
+    names = ["bm25_only", "dense_only", "no_evidence_checker", "no_citation_grounding"]
+    found = {(r["config_name"], r["query_id"]): r for r in engine.answer_all(asked, names).collect()}
+    assert len(found) == 8 and "25 days" in found["bm25_only", 1]["answer"] and found["bm25_only", 2]["decision"] != "answer"
+    assert found["dense_only", 1]["decision"] == "switch_strategy"
+    assert {found["no_evidence_checker", q]["decision"] for q in (1, 2)} == {"answer"} and found["no_evidence_checker", 2]["sufficiency"] == 0.0
+    assert found["no_citation_grounding", 1]["citations"] == [] and "25 days" in found["no_citation_grounding", 1]["answer"]
+
+
+def test_scan_lines(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    kind = f"doc_id string, page_index int, line int, text string, score double, bbox {box}"
+    row = lambda page, n, text, y, score=0.9: ("d", page, n, text, score, (10.0, y, 500.0, y + 10.0))
+    lines = [row(0, i, f"item {i} 12,5 30", 12.0 * i) for i in range(10)]
+    lines += [row(0, 10 + i, "a long line of words that has nothing to count in it at all", 400.0 + 12.0 * i) for i in range(4)]
+    lines += [row(1, i, "three short words", 14.0 * i) for i in range(5)] + [row(2, 0, None, 0.0), ("d", 2, 1, "no box", None, None)]
+    lines += [row(3, i, "one two", 40.0 * i) for i in range(24)]
+    df = spark.createDataFrame(lines, kind)
+    pages = spark.createDataFrame([("d", p, 600.0, 600.0) for p in range(4)], "doc_id string, page_index int, width double, height double")
+    found = {r["page_index"]: r for r in scans.table_blocks(df, pages).collect()}
+    assert set(found) == {0, 3} and found[0]["n_lines"] == 10 and found[0]["text"].startswith("item 0 12,5 30\nitem 1") and found[0]["confidence"] == pytest.approx(0.9)
+    assert found[3]["n_lines"] == 20 and found[3]["bbox"]["y0"] == 80.0
+    assert scans.table_blocks(df.where("1 = 0"), pages).count() == 0
+    weak = spark.createDataFrame([row(0, 0, "x", 0.0, 0.4), row(0, 1, "y", 0.0, None), row(0, 2, " ", 0.0)], kind)
+    assert [r["text"] for r in scans.confident(weak).collect()] == ["y"]
+    assert [one(spark, scans.line_type(F.col("x")), x=t) for t in ("- a", "TOTAL", "2. Scope", "plain", None)] == ["list_item", "heading", "heading", "paragraph", "paragraph"]
+
+
+def test_runs(spark):
+    kind = "run int, success_rate double, iou50_micro_f1 double, iou75_micro_f1 double, latency_p95_sec double, backend_counts map<string,int>, route_counts map<string,int>"
+    runs = spark.createDataFrame([(1, 1.0, 0.97, 0.8, 2.0, {"a": 3}, {"t": 1, "u": 1}), (2, 0.9, 0.9, 0.7, 3.0, {"a": 2, "b": 1}, None)], kind)
+    assert rows(metrics.run_gates(runs), "run") == [(1, True, True, True, True, True), (2, False, False, False, False, False)]
+    found = metrics.stability(runs).first()
+    assert (found["runs"], found["success_rate_min"], found["latency_p95_sec_max"]) == (2, 0.9, 3.0)
+    assert found["backend_consistent"] and not found["route_consistent"] and list(found["dominant_routes"]) == ["", "t"]
+    assert metrics.stability(runs.where("run > 5")).count() == 0
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 9, 1)], "query_id long, chunk_idx long, rank int")
     gold = spark.createDataFrame([(1, 6), (1, 7), (2, 8), (1, 6)], "query_id long, chunk_idx long")
