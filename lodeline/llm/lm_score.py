@@ -25,8 +25,8 @@ FEATURES = 3 * SYMBOLS + 2 * PAIRS
 INNER = 1 << 14
 #: Most frequent words whose counts go to all tasks (12 bytes each); the counts of all others are joined.
 TABLE = 1 << 18
-#: Training: rounds over disjoint parts of the texts, one position in so many of each text, positions of a step, rate.
-ROUNDS, STRIDE, STEP, RATE = 3, 4, 2048, 0.15
+#: Training: rounds over disjoint parts of the texts, which together hold all of them, positions of a step, rate.
+ROUNDS, STEP, RATE = 3, 2048, 0.15
 CHUNK = 4 << 20
 _END = np.uint64(0x5EED0E0F0E0D5EED)
 
@@ -245,11 +245,12 @@ def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, z: np.ndar
     p = np.exp(z, out=z)
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(y)), y] -= 1
-    flat = rows.T.ravel()
+    flat = rows.T.ravel().astype(np.uint16)  # two bytes are sorted by radix
     order = np.argsort(flat, kind="stable")
-    cuts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    ranked = flat[order]
+    cuts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     gradient = np.add.reduceat(p[order % len(y)], cuts, axis=0)
-    ids = flat[order][cuts]
+    ids = ranked[cuts]
     seen[ids] += np.einsum("ij,ij->i", gradient, gradient)
     weights[ids] -= gradient * (RATE / np.sqrt(seen[ids] + 1.0))[:, None]
 
@@ -277,19 +278,15 @@ def _training(model: Model):
                 symbols, firsts = _positions(part)
                 if not len(symbols):
                     continue
-                place = np.arange(len(symbols)) - np.repeat(firsts, np.diff(np.append(firsts, len(symbols))))
-                phase = np.repeat(part.column("doc_id").fill_null(0).to_numpy() % STRIDE, np.diff(np.append(firsts, len(symbols))))
-                take = np.flatnonzero((place + phase) % STRIDE == 0)
-                rows, classes = contexts(symbols, firsts)[take], _classes(symbols)[take]
-                chosen = symbols[take]
-                for i in range(0, len(take), STEP):
-                    r, c, s = rows[i : i + STEP], classes[i : i + STEP], chosen[i : i + STEP]
+                rows, classes = contexts(symbols, firsts), _classes(symbols)
+                for i in range(0, len(symbols), STEP):
+                    r, c, s = rows[i : i + STEP], classes[i : i + STEP], symbols[i : i + STEP]
                     _descend(own.outer, seen_outer, r, own.outer_logits(r), c)
                     head = np.flatnonzero(s < HEAD)
                     if len(head):
                         inner = inner_rows(r[head], c[head])
                         _descend(own.inner, seen_inner, inner, own.inner_logits(inner, c[head]), s[head] % GROUP)
-                n += len(take)
+                n += len(symbols)
         if n:
             change = (own.values() - model.values()).astype(np.float16)
             blocks = [change[i : i + BLOCK].tobytes() for i in range(0, len(change), BLOCK)]
@@ -358,9 +355,8 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     apart by the context; the others are in classes by their last two bytes,
     within which (c + 1) counts, an unknown word being one more word of each.
     Words are told apart by 64-bit hashes. Null texts count as empty. Counts
-    and vocabulary come from all training texts, as does training, which
-    takes one position in STRIDE of each. A repeated doc_id gives a row for
-    each of its rows.
+    and vocabulary come from all training texts, and every position of each
+    is trained on, once. A repeated doc_id gives a row for each of its rows.
     """
     folded = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

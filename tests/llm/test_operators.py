@@ -168,6 +168,15 @@ def test_lm_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_trains_on_every_position():
+    v = lm_score.Vocabulary(100, 10, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 5, np.ones(lm_score.RARE) * 3, np.r_[5.0, 9.0, 4.0, np.zeros(lm_score.HEAD - 3)])
+    model = lm_score.Model(v)
+    texts = [np.array(x, "<u2").tobytes() for x in ([1, 2, 1, 1, 2, lm_score.HEAD + 3, 0], [2, 0], [0])]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "symbols"])
+    out = next(lm_score._training(model)(iter([batch])))
+    assert set(out.column("n").to_pylist()) == {10}
+
+
 def test_lm_of_nothing(spark):
     empty = docs(spark, []).withColumn("held_out", F.lit(False))
     assert lm_score.score(spark, empty).count() == 0
