@@ -53,9 +53,15 @@ def _template(token: Column) -> Column:
     return F.when(_is_slot(token), F.substr(token, F.lit(1), F.lit(1))).otherwise(token)
 
 
-def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+def _heavy(words: Column, size: Column, window: int) -> Column:
+    """Whether a window has too few plain words to be told by its template."""
+    return 2 * F.size(F.filter(words, lambda t: ~_is_slot(t))) < F.least(size, F.lit(window))
+
+
+def _windows(rows: DataFrame, lengths: list[int], window: int) -> DataFrame:
     """``rows`` (tokens, and others) with w, at and h, a window's size, position and hash, for every window.
 
+    The hash is the template's, or that of the words themselves where most are slots.
     An exploded row repeats all other columns: ``rows`` should have few and small ones beside its tokens, which are left out.
     """
     typed = rows.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(_template(t))))
@@ -72,6 +78,16 @@ def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
             made = typed
             starts = F.when(F.size("hashes") >= size, F.sequence(F.lit(1), F.size("hashes") - (size - 1))).otherwise(F.array().cast("array<int>"))
             whole = F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, F.lit(size))))
+        slots = F.transform("tokens", lambda t: _is_slot(t).cast("int"))
+        made, k = made.withColumn("slots", slots), 1
+        while 2 * k <= size:
+            made, k = made.withColumn("slots", F.zip_with("slots", F.slice("slots", F.lit(k + 1), F.size("slots")), lambda a, b: a + b)), 2 * k
+        if k < size:
+            made = made.withColumn("slots", F.zip_with("slots", F.slice("slots", F.lit(size - k + 1), F.size("slots")), lambda a, b: a + b))
+        # Of overlapping halves the sum is no less than the count, so that no heavy window is passed over.
+        own = lambda i: F.slice("tokens", i + 1, F.lit(size))
+        heavy = lambda i: (2 * (size - F.get("slots", i)) < min(size, window)) & _heavy(own(i), F.lit(size), window)
+        whole = F.transform(whole, lambda h, i: F.when(heavy(i), F.xxhash64(own(i), F.lit(size))).otherwise(h))
         kept = [c for c in rows.columns if c != "tokens"]
         return made.select(*kept, F.lit(size).alias("w"), F.posexplode(whole).alias("at", "h"))
 
@@ -86,8 +102,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     """Pairs (doc_id, item_id, coverage, matched_windows, item_windows, reparameterised) of documents that hold an item.
 
     Texts become templates: numbers, units and names are placeholders of their
-    type. Windows of eight words, of which at least half aren't placeholders,
-    are hashed and joined, and compared word by word where hashes agree.
+    type. Windows of eight words are hashed and joined, and compared word by
+    word where hashes agree; those of which more than half are placeholders
+    agree only with the same words. An item that has no others is also looked
+    for by longer windows, of 16 words or its length, as templates if they
+    have four plain words. Coverage is the better of that of the template
+    windows and that of all, for each size of window.
     Windows that line up are one occurrence; it counts if each of the item's
     slot values stands for one value there and the other way round. A pair is
     returned if consistent occurrences hold ``coverage`` of the item's
@@ -107,48 +127,58 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
         .select("item_id", F.xxhash64("item_text").alias("version"), typed_tokens(F.col("item_text")).alias("tokens"))
         .where(F.size("tokens") >= LEAST_WORDS)
     )
-    longs = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(window)).alias("n")).distinct().orderBy("n").collect()]
+    n = F.size("tokens")
+    starts = F.sequence(F.lit(1), n - F.least(n, F.lit(window)) + 1)
+    only_heavy = F.forall(starts, lambda i: _heavy(F.slice("tokens", i, F.least(n, F.lit(window))), n, window))
+    longer = F.when((n > window) & only_heavy, F.array(F.least(n, F.lit(2 * window)))).otherwise(F.array().cast("array<int>"))
+    items = items.withColumn("sizes", F.concat(F.array(F.least(n, F.lit(window))), longer))
+    longs = [r[0] for r in items.select(F.explode("sizes").alias("n")).distinct().orderBy("n").collect()]
     if not longs:
         longs = [window]
     words = F.slice("tokens", F.col("at") + 1, F.col("w"))
-    keyed = _windows(items.select("item_id", "version", "tokens"), longs).join(items, ["item_id", "version"])
-    wanted = keyed.where((F.col("w") == window) | (F.size("tokens") == F.col("w")))
-    item_windows = wanted.select("item_id", "version", F.col("w").alias("size"), F.col("at").alias("item_at"), "h", words.alias("item_words")).where(
-        2 * F.size(F.filter("item_words", lambda t: ~_is_slot(t))) >= F.col("size")
+    keyed = _windows(items.select("item_id", "version", "tokens"), longs, window).join(items, ["item_id", "version"])
+    wanted = keyed.where(F.array_contains("sizes", F.col("w"))).select(
+        "item_id", "version", F.col("w").alias("size"), F.col("at").alias("item_at"), "h", words.alias("item_words"), _heavy(words, F.col("w"), window).alias("heavy")
     )
-    item_windows = staged(docs.sparkSession, item_windows, "item-windows")
-    totals = item_windows.groupBy("item_id", "version").agg(F.count("*").alias("item_windows"))
+    item_windows = staged(docs.sparkSession, wanted.where((F.col("size") <= window) | ~F.col("heavy")), "item-windows")
+    plain_at = F.when(~F.col("heavy"), F.col("item_at"))
+    totals = item_windows.groupBy("item_id", "version", "size").agg(F.countDistinct(plain_at).alias("plain_windows"), F.countDistinct("item_at").alias("all_windows"))
     known = item_windows.count()
     hint = F.broadcast if known <= BROADCAST_ROWS else (lambda df: df)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = _windows(texts.select("doc_id", typed_tokens(F.col("text")).alias("tokens")), longs)
+    made = _windows(texts.select("doc_id", typed_tokens(F.col("text")).alias("tokens")), longs, window)
     pairs = made.join(hint(item_windows.select("item_id", "version", "size", "item_at", "h")), "h").where(F.col("w") == F.col("size"))
     hits = staged(docs.sparkSession, pairs.select("doc_id", "at", "w", "item_id", "version", "item_at"), "window-hits")
     ids = hits.select("doc_id").distinct()
     held = texts.join(F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
     found = (
         hits.join(held.select("doc_id", typed_tokens(F.col("text")).alias("tokens")), "doc_id")
-        .select("doc_id", "item_id", "version", "item_at", "at", words.alias("doc_words"))
-        .join(hint(item_windows), ["item_id", "version", "item_at"])
-        .where(F.transform("item_words", _template) == F.transform("doc_words", _template))
+        .select("doc_id", "item_id", "version", F.col("w").alias("size"), "item_at", "at", words.alias("doc_words"))
+        .join(hint(item_windows), ["item_id", "version", "size", "item_at"])
+        .where(F.when(F.col("heavy"), F.col("item_words") == F.col("doc_words")).otherwise(F.transform("item_words", _template) == F.transform("doc_words", _template)))
     )
     slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda z: _is_slot(z["item_words"]))
     occurrences = (
-        found.select("doc_id", "item_id", "version", "item_at", (F.col("at") - F.col("item_at")).alias("start"), slots.alias("slots"))
-        .groupBy("doc_id", "item_id", "version", "start")
-        .agg(F.collect_set("item_at").alias("held"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+        found.select("doc_id", "item_id", "version", "size", "item_at", "heavy", (F.col("at") - F.col("item_at")).alias("start"), slots.alias("slots"))
+        .groupBy("doc_id", "item_id", "version", "size", "start")
+        .agg(F.collect_set(F.struct("item_at", "heavy")).alias("held"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     )
     one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda z: z[side]))) == F.size("slots")
     consistent = occurrences.where(one_way("item_words") & one_way("doc_words"))
     changed = F.exists("slots", lambda z: z["item_words"] != z["doc_words"])
-    per_pair = consistent.select("doc_id", "item_id", "version", F.explode("held").alias("item_at"), changed.alias("changed"))
-    counted = per_pair.groupBy("doc_id", "item_id", "version").agg(
-        F.countDistinct("item_at").alias("matched_windows"), F.min("changed").alias("reparameterised")
+    per_pair = consistent.select("doc_id", "item_id", "version", "size", F.explode("held").alias("held"), changed.alias("changed"))
+    counted = per_pair.select("doc_id", "item_id", "version", "size", "held.*", "changed").groupBy("doc_id", "item_id", "version", "size").agg(
+        F.countDistinct(plain_at).alias("plain"), F.countDistinct("item_at").alias("all"), F.min("changed").alias("changed")
+    )
+    share = lambda part, of: F.struct(
+        F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0).alias("coverage"), F.col(part).alias("matched_windows"), F.col(of).alias("item_windows")
     )
-    share = F.col("matched_windows") / F.col("item_windows")
+    best = F.greatest(share("plain", "plain_windows"), share("all", "all_windows"))
     return (
-        counted.join(hint(totals), ["item_id", "version"])
-        .withColumn("coverage", share)
+        counted.join(hint(totals), ["item_id", "version", "size"])
+        .select("doc_id", "item_id", "version", best.alias("best"), F.col("changed").alias("reparameterised"), F.col("size"))
+        .groupBy("doc_id", "item_id", "version")
+        .agg(F.max(F.struct("best.coverage", -F.col("size"), "best.matched_windows", "best.item_windows", "reparameterised")).alias("top"))
+        .select("doc_id", "item_id", "top.coverage", "top.matched_windows", "top.item_windows", "top.reparameterised")
         .where(F.col("coverage") >= coverage)
-        .select("doc_id", "item_id", "coverage", "matched_windows", "item_windows", "reparameterised")
     )

@@ -94,6 +94,18 @@ def test_decontamination_against_brute_force(spark):
     assert got == want
 
 
+def held(spark, text, item):
+    rows = decontaminate.leaks(docs(spark, text if isinstance(text, list) else [text]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_decontamination_of_number_heavy_items(spark):
+    for item in ("what is 12 + 34 + 56?", "compute 12 + 34 * 5 - 7.", "solve: 3, 5, 8, 13, 21, 34, what comes next?"):
+        assert set(held(spark, [f"then {item} they asked", "then nothing of it"], item)) == {0}
+    copy = held(spark, "then solve: 4, 6, 9, 14, 22, 35, what comes next? they asked", item)
+    assert copy[0]["reparameterised"]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     item = passage(4)
