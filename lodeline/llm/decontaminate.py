@@ -108,11 +108,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     for by longer windows, of 16 words or its length, as templates if they
     have four plain words. Coverage is the better of that of the template
     windows and that of all, for each size of window.
-    Windows that line up are one occurrence; it counts if each of the item's
-    slot values stands for one value there and the other way round. A pair is
-    returned if consistent occurrences hold ``coverage`` of the item's
-    windows; ``reparameterised`` says that none of them has the item's own
-    values throughout.
+    Windows that line up are one occurrence. A value of the item that is both
+    kept and replaced there is in conflict; its windows count only where all
+    of their slots hold the item's own values. Different values may be
+    replaced by one, and a value by several. A pair is returned if such
+    windows hold ``coverage`` of the item's; ``reparameterised`` says that no
+    occurrence has the item's own values throughout.
 
     Items with fewer than three words are never found, those with fewer than
     eight are one window of their length. Null texts have no windows. Equal
@@ -161,13 +162,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     occurrences = (
         found.select("doc_id", "item_id", "version", "size", "item_at", "heavy", (F.col("at") - F.col("item_at")).alias("start"), slots.alias("slots"))
         .groupBy("doc_id", "item_id", "version", "size", "start")
-        .agg(F.collect_set(F.struct("item_at", "heavy")).alias("held"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+        .agg(F.collect_set(F.struct("item_at", "heavy", F.col("slots").alias("own"))).alias("held"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     )
-    one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda z: z[side]))) == F.size("slots")
-    consistent = occurrences.where(one_way("item_words") & one_way("doc_words"))
-    changed = F.exists("slots", lambda z: z["item_words"] != z["doc_words"])
-    per_pair = consistent.select("doc_id", "item_id", "version", "size", F.explode("held").alias("held"), changed.alias("changed"))
-    counted = per_pair.select("doc_id", "item_id", "version", "size", "held.*", "changed").groupBy("doc_id", "item_id", "version", "size").agg(
+    differs = lambda z: z["item_words"] != z["doc_words"]
+    changed = F.exists("slots", differs)
+    values = lambda test: F.transform(F.filter("slots", test), lambda z: z["item_words"])
+    split = occurrences.withColumn("conflicts", F.array_intersect(values(differs), values(lambda z: ~differs(z))))
+    counts = lambda x: ~F.exists(x["own"], differs) | ~F.exists(x["own"], lambda z: F.array_contains("conflicts", z["item_words"]))
+    per_pair = split.withColumn("held", F.filter("held", counts)).select("doc_id", "item_id", "version", "size", F.explode("held").alias("held"), changed.alias("changed"))
+    counted = per_pair.select("doc_id", "item_id", "version", "size", "held.item_at", "held.heavy", "changed").groupBy("doc_id", "item_id", "version", "size").agg(
         F.countDistinct(plain_at).alias("plain"), F.countDistinct("item_at").alias("all"), F.min("changed").alias("changed")
     )
     share = lambda part, of: F.struct(

@@ -106,6 +106,14 @@ def test_decontamination_of_number_heavy_items(spark):
     assert copy[0]["reparameterised"]
 
 
+def test_decontamination_with_colliding_values(spark):
+    item = f"{passage(11, 9)} buys 7 apples {passage(12, 9)} gives 5 pears {passage(13, 9)}"
+    assert held(spark, "so " + item.replace(" 7 ", " 9 ").replace(" 5 ", " 9 "), item)[0]["coverage"] == 1
+    same = item.replace(" 5 ", " 7 ")
+    assert held(spark, "so " + same.replace("7 apples", "8 apples").replace("7 pears", "9 pears"), same)[0]["coverage"] == 1
+    assert 0.3 <= held(spark, "so " + same.replace("7 pears", "9 pears"), same)[0]["coverage"] < 1
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     item = passage(4)
