@@ -115,17 +115,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     windows hold ``coverage`` of the item's; ``reparameterised`` says that no
     occurrence has the item's own values throughout.
 
+    An item's first word is looked for as at the start of a sentence and as
+    within one, where a capital makes it a name.
+
     Items with fewer than three words are never found, those with fewer than
     eight are one window of their length. Null texts have no windows. Equal
     rows of ``benchmark`` count once; rows of one item_id with different texts
     are looked for one by one and give a pair each. Repeated documents are one
     document. Other columns are not read.
     """
+    at_start = typed_tokens(F.col("item_text"))
+    behind = typed_tokens(F.concat(F.lit("x "), F.regexp_replace("item_text", r"^\s+", "")))
+    within = F.slice(behind, F.lit(2), F.size(behind))
     items = (
         benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("item_text"))
         .where("item_text is not null")
         .distinct()
-        .select("item_id", F.xxhash64("item_text").alias("version"), typed_tokens(F.col("item_text")).alias("tokens"))
+        .select("item_id", F.xxhash64("item_text").alias("version"), F.explode(F.array_distinct(F.array(at_start, within))).alias("tokens"))
         .where(F.size("tokens") >= LEAST_WORDS)
     )
     n = F.size("tokens")
@@ -137,11 +143,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     if not longs:
         longs = [window]
     words = F.slice("tokens", F.col("at") + 1, F.col("w"))
-    keyed = _windows(items.select("item_id", "version", "tokens"), longs, window).join(items, ["item_id", "version"])
+    items = items.withColumn("form", F.xxhash64("tokens"))
+    keyed = _windows(items.select("item_id", "version", "form", "tokens"), longs, window).join(items, ["item_id", "version", "form"])
     wanted = keyed.where(F.array_contains("sizes", F.col("w"))).select(
         "item_id", "version", F.col("w").alias("size"), F.col("at").alias("item_at"), "h", words.alias("item_words"), _heavy(words, F.col("w"), window).alias("heavy")
     )
-    item_windows = staged(docs.sparkSession, wanted.where((F.col("size") <= window) | ~F.col("heavy")), "item-windows")
+    item_windows = staged(docs.sparkSession, wanted.where((F.col("size") <= window) | ~F.col("heavy")).distinct(), "item-windows")
     plain_at = F.when(~F.col("heavy"), F.col("item_at"))
     totals = item_windows.groupBy("item_id", "version", "size").agg(F.countDistinct(plain_at).alias("plain_windows"), F.countDistinct("item_at").alias("all_windows"))
     known = item_windows.count()

@@ -114,6 +114,12 @@ def test_decontamination_with_colliding_values(spark):
     assert 0.3 <= held(spark, "so " + same.replace("7 pears", "9 pears"), same)[0]["coverage"] < 1
 
 
+def test_decontamination_of_quoted_items(spark):
+    item = "What is the capital of France?"
+    found = held(spark, [f"as they asked {item}", item, f"They asked. {item}"], item)
+    assert {d: r["reparameterised"] for d, r in found.items()} == {0: False, 1: False, 2: False}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     item = passage(4)
