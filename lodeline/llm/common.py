@@ -1,69 +1,20 @@
-"""Shared folders, staged tables and byte-level word splitting."""
+"""Byte-level word splitting and hashing, and groups of sorted partitions."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that ends a word: space and U+0009 to U+000D.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
-_own_dir: str | None = None
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only a local master, where
-    one machine holds everything, may go without that setting.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="lodeline-")
-    return _own_dir
-
+from lodeline.sources.staging import new_path, staged
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that goes when the driver ends."""
-    path = f"{shared_dir(spark)}/lodeline-{uuid.uuid4().hex}-{tag}"
-    _made.append((spark, path))
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _made:
-        try:
-            remove_path(spark, path)
-        except Exception:  # the session may be gone; the folder's owner cleans up then
-            return
-
-
-def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage."""
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "staged"]
 
+#: White space that ends a word: space and U+0009 to U+000D.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 def remainder(key: str | Column, modulus: int) -> Column:
     """crc32 of a key's text, modulo a number: the fold of a row."""
@@ -120,24 +71,9 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-#: An odd factor and a value for each byte: a rolling sum of value * factor**position.
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        back = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-        tables = []
-        for x in (_FACTOR, back):
-            row = np.full(size, x, np.uint64)
-            row[0] = 1
-            tables.append(np.cumprod(row))
-        _powers = tuple(tables)
-    return _powers
+#: Bytes of a stretch above which it is hashed and compared on its own instead of eight bytes at a time with all others.
+LONG = 512
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -150,34 +86,78 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes, for all of them at once."""
+    """A 64-bit hash of each stretch of bytes: eight bytes at a time are mixed in, long ones by XXH64.
+
+    Every step mixes all bits, so that no family of texts collides by its form.
+    """
+    import xxhash
+
+    longs = ends - starts
+    h = mix64(longs.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    forth, back = _power_tables(len(buf))
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_VALUES[buf] * forth[: len(buf)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * back[starts])
+        return h
+    eights = _eights(buf)
+    left, at, open_ = longs.copy(), starts.copy(), np.flatnonzero((longs > 0) & (longs <= LONG))
+    while len(open_):
+        now = left[open_]
+        part = eights[at[open_]] & _TAIL[np.minimum(now, 8)]
+        h[open_] = mix64(h[open_] ^ part) + np.uint64(0xD6E8FEB86659FD93)
+        at[open_] += 8
+        left[open_] = now - 8
+        open_ = open_[now > 8]
+    for i in np.flatnonzero(longs > LONG):
+        h[i] = xxhash.xxh64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed=7)
+    return h
+
+
+def same_spans(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, b: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """Whether each stretch of ``a`` holds the same bytes as its stretch of ``b``."""
+    longs = ends - starts
+    same = longs == lasts - firsts
+    x, y = _eights(a), _eights(b)
+    done, open_ = 0, np.flatnonzero(same & (longs > 0) & (longs <= LONG))
+    while len(open_):
+        now = longs[open_] - done
+        tail = _TAIL[np.minimum(now, 8)]
+        equal = (x[starts[open_] + done] & tail) == (y[firsts[open_] + done] & tail)
+        same[open_[~equal]] = False
+        open_, done = open_[equal & (now > 8)], done + 8
+    for i in np.flatnonzero(same & (longs > LONG)):
+        same[i] = np.array_equal(a[starts[i] : ends[i]], b[firsts[i] : lasts[i]])
+    return same
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of a partition that is sorted by the keys, one at a time, whatever the batches' bounds."""
+    """The groups of a partition that is sorted by the keys, one at a time, whatever the batches' bounds.
+
+    Each batch is looked at once; a group's batches are joined when it ends.
+    """
     held: list[pa.RecordBatch] = []
+    last: tuple | None = None
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        columns = [table.column(k).to_numpy() for k in keys]
-        change = np.zeros(table.num_rows, bool)
-        for c in columns:
+        change = np.zeros(n, bool)
+        for k in keys:
+            c = batch.column(k).to_numpy(zero_copy_only=False)
             change[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(change)
-        if not len(cuts):
-            continue
-        for a, b in zip([0, *cuts[:-1]], cuts):
-            yield table.slice(a, b - a)
-        held = table.slice(cuts[-1]).combine_chunks().to_batches()
+        first = tuple(batch.column(k)[0].as_py() for k in keys)
+        change[0] = last is not None and first != last
+        last = tuple(batch.column(k)[n - 1].as_py() for k in keys)
+        at = 0
+        for cut in np.flatnonzero(change):
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            yield pa.Table.from_batches(held)
+            held, at = [], cut
+        held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)

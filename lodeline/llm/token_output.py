@@ -12,7 +12,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import hash_spans, new_path, sorted_groups, spans, staged, utf8
+from lodeline.llm.common import hash_spans, new_path, same_spans, sorted_groups, spans, staged, utf8
 
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH = 2048
@@ -37,8 +37,9 @@ class PieceEncoder:
     Byte-level BPE never joins what lies before and behind a space that a
     visible character follows. Texts are cut there, and the tokenizer encodes
     each piece that is new to this worker; known pieces are looked up by a
-    64-bit hash. The memory of pieces is only a matter of speed and starts
-    anew when it is full.
+    64-bit hash and compared byte by byte. Should two pieces share a hash, the
+    texts at hand are encoded without the memory, which is only a matter of
+    speed and starts anew when it is full.
     """
 
     def __init__(self, path: str):
@@ -57,7 +58,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.long = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.kind)
+        self.ids, self.bytes, self.begins = np.zeros(0, self.kind), np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, one after the other, and how many each text has."""
@@ -77,9 +78,14 @@ class PieceEncoder:
         codes, distinct = pd.factorize(keys)
         where = np.empty(len(distinct), np.int64)
         where[codes[::-1]] = np.arange(len(codes))[::-1]
+        if not same_spans(buf, starts, ends, buf, starts[where][codes], ends[where][codes]).all():
+            return self._plainly(buf, starts, ends, offsets)
         if len(self.ids) > REMEMBERED:
             self._forget()
         slot, known = self._find(distinct)
+        old, of = np.flatnonzero(known), slot[known]
+        if len(old) and not same_spans(buf, starts[where[old]], ends[where[old]], self.bytes, self.begins[of], self.begins[of + 1]).all():
+            return self._plainly(buf, starts, ends, offsets)
         if not known.all():
             new = np.flatnonzero(~known)
             self._learn(buf, distinct[new], starts[where[new]], ends[where[new]])
@@ -89,6 +95,13 @@ class PieceEncoder:
         out = self.ids[np.repeat(first - total[:-1], long) + np.arange(total[-1])]
         return out, np.diff(total[np.searchsorted(starts, offsets)])
 
+    def _plainly(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``encode`` returns, without the memory of pieces."""
+        data = buf.tobytes()
+        found = self._ids([data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())])
+        total = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+        return np.array([i for x in found for i in x], self.kind), np.diff(total[np.searchsorted(starts, offsets)])
+
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -116,6 +129,10 @@ class PieceEncoder:
             longs = np.zeros(0, np.int64)
         rest = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[~simple].tolist(), ends[~simple].tolist())]
         others = [np.array(x, self.kind) for x in self._ids(rest)]
+        pieces = [data[a:b] for a, b in zip(starts[simple].tolist(), ends[simple].tolist())]
+        pieces += [data[a:b] for a, b in zip(starts[~simple].tolist(), ends[~simple].tolist())]
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(pieces), np.uint8)))
+        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum([len(x) for x in pieces])))
         keys = np.concatenate((keys[simple], keys[~simple]))
         longs = np.concatenate((longs, np.array([len(x) for x in others], np.int64)))
         base, slots = len(self.ids), len(self.first)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.llm import chat_format, components, decontaminate, embed_dedup, lang_id, license_scan, lm_score, mixing, quality, queries, simhash, token_output
-from lodeline.llm.common import hash_spans, remainder, spans, utf8, words_of
+from lodeline.llm.common import hash_spans, remainder, same_spans, sorted_groups, spans, utf8, words_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = DOC + ", fp string, score string, label string, tile int, size string, tokens string, _turn int"
@@ -45,6 +45,37 @@ def test_bytes_and_words():
     assert list(spans(np.array([0, 5, 50, 51]), 10)) == [(0, 1), (1, 2), (2, 3)]
 
 
+def thue_morse(doublings=10):
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_stretches_apart():
+    rng = np.random.default_rng(4)
+    texts = list({bytes(rng.integers(97, 100, rng.integers(1, 40), dtype=np.uint8)) for _ in range(100_000)})
+    texts += [w.encode() for n in (4, 6, 8, 9, 10, 12) for w in thue_morse(n)] + [b"a" * n for n in range(500, 530)]
+    texts = sorted(set(texts))
+    buf, offsets = utf8(pa.array([t.decode() for t in texts]))
+    h = hash_spans(buf, offsets[:-1], offsets[1:])
+    assert len(set(h.tolist())) == len(texts)
+    turned = np.roll(np.arange(len(texts)), 1)
+    assert same_spans(buf, offsets[:-1], offsets[1:], buf, offsets[:-1], offsets[1:]).all()
+    assert not same_spans(buf, offsets[:-1], offsets[1:], buf, offsets[:-1][turned], offsets[1:][turned]).any()
+
+
+def test_sorted_groups():
+    keys = [1, 1, 1, 2, 2, 3, 3, 3, 3, 4, None, None]
+    for sizes in ([12], [1] * 12, [3, 2, 4, 3], [2, 5, 0, 5]):
+        batches, at = [], 0
+        for n in sizes:
+            batches.append(pa.RecordBatch.from_arrays([pa.array(keys[at : at + n], pa.int64()), pa.array(range(at, at + n))], ["k", "v"]))
+            at += n
+        groups = [g.column("v").to_pylist() for g in sorted_groups(iter(batches), ["k"])]
+        assert sum(groups, []) == list(range(12)) and groups[:4] == [[0, 1, 2], [3, 4], [5, 6, 7, 8], [9]]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
@@ -181,6 +212,40 @@ def test_lm_score(spark):
         assert math.isfinite(r["score"]) and r["score"] <= 0
 
 
+def test_lm_learns(spark):
+    """Held-out texts of a word order that counts can't know: the model must be well ahead of the base."""
+    rng = random.Random(9)
+    after = {w: [rng.randrange(300) for _ in range(3)] for w in range(300)}
+    texts = []
+    for _ in range(600):
+        w, out = rng.randrange(300), []
+        for _ in range(120):
+            out.append(f"w{w}x")
+            w = rng.choice(after[w])
+        texts.append(" ".join(out))
+    rows = lm_score.score(spark, docs(spark, texts).withColumn("held_out", remainder("doc_id", 7) == 2)).where("held_out").collect()
+    assert all(r["score"] > r["base_score"] for r in rows)
+    assert sum(r["score"] for r in rows) > 0.8 * sum(r["base_score"] for r in rows)
+
+
+def test_segment_sums():
+    rng = np.random.default_rng(2)
+    for n in (1, 31, 32, 33, 500):
+        x, ids = rng.normal(size=(n, 7)).astype(np.float32), np.sort(rng.integers(0, 9, n))
+        fresh = np.append(True, ids[1:] != ids[:-1])
+        assert np.allclose(lm_score._segment_sums(x, fresh), np.add.reduceat(x, np.flatnonzero(fresh), axis=0), atol=1e-4)
+
+
+def test_lm_table_holds_the_most_frequent_words(spark, monkeypatch):
+    counts = [(i, 1 + (i * i) % 997, i % 64) for i in range(400)]
+    table = spark.createDataFrame(counts, "h long, c long, cls int")
+    for most in (1000, 100, 1):
+        monkeypatch.setattr(lm_score, "TABLE", most)
+        v = lm_score.vocabulary(table)
+        least = min(v.counts.tolist(), default=10**9)
+        assert len(v.keys) <= most and len(v.keys) == sum(c >= least for _, c, _ in counts) and (most < 1000 or len(v.keys) == 400)
+
+
 def test_lm_probabilities_sum_to_one():
     v = lm_score.Vocabulary(100, 10, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 5, np.ones(lm_score.RARE) * 3, np.r_[5.0, 9.0, 4.0, np.zeros(lm_score.HEAD - 3)])
     model = lm_score.Model(v)
@@ -337,6 +402,25 @@ def test_piece_encoder_is_exact():
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_pieces_that_hashes_confuse(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    texts = [f"x {thue_morse()[k]} y" for k in (0, 1)] + ["ab cd", "", "xy ef"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def check():
+        encoder = token_output.PieceEncoder(path)
+        for part in ([0], [1, 2], [3, 4], [0, 1, 2, 3, 4]):
+            ids, counts = encoder.encode(*utf8(pa.array([texts[k] for k in part])))
+            assert ids.tolist() == sum((want[k] for k in part), []) and counts.tolist() == [len(want[k]) for k in part]
+
+    check()
+    monkeypatch.setattr(token_output, "hash_spans", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    check()
+
+
 # 8
 
 
