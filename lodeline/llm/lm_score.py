@@ -26,7 +26,9 @@ INNER = 1 << 14
 #: Most frequent words whose counts go to all tasks (12 bytes each); the counts of all others are joined.
 TABLE = 1 << 18
 #: Training: rounds over disjoint parts of the texts, which together hold all of them, positions of a step, rate.
-ROUNDS, STEP, RATE = 3, 2048, 0.15
+ROUNDS, TRAIN_STEP, RATE = 3, 8192, 0.6
+#: Positions scored at once, and rows of a gradient summed at once.
+STEP, PACK = 2048, 32
 CHUNK = 4 << 20
 _END = np.uint64(0x5EED0E0F0E0D5EED)
 
@@ -72,7 +74,7 @@ class Vocabulary:
 
     total: int
     distinct: int
-    keys: np.ndarray  # sorted hashes of the TABLE most frequent words
+    keys: np.ndarray  # sorted hashes of the most frequent words, TABLE at most
     counts: np.ndarray
     symbols: np.ndarray  # their symbols, -1 for those in rare classes
     end: int  # count of the end
@@ -84,13 +86,26 @@ class Vocabulary:
         return math.log10(self.total + self.distinct + 1)
 
 
+def _cut(counts: DataFrame) -> int:
+    """The least count that no more than TABLE words reach, from the numbers of words between steps of a sixteenth of a power of two."""
+    step = F.ceil(F.log2(F.col("c").cast("double")) * 16)
+    words = {r[0]: r[1] for r in counts.groupBy(step.alias("step")).count().collect()}
+    total, least = 0, max(words, default=0) + 1
+    for k in sorted(words, reverse=True):
+        total += words[k]
+        if total > TABLE:
+            break
+        least = k
+    return math.floor(2 ** ((least - 1) / 16) + 1e-6) + 1 if least > 0 else 1
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     row = counts.agg(F.sum("c"), F.count("*")).first()
     per_class = counts.where(F.col("h") != F.lit(int(_END.view(np.int64)))).groupBy("cls").agg(F.sum(F.col("c") + 1)).collect()
     masses = np.ones(RARE)
     for cls, mass in per_class:
         masses[cls] += int(mass)
-    top = counts.orderBy(F.desc("c"), "h").limit(TABLE).toArrow()
+    top = counts.where(F.col("c") >= _cut(counts)).toArrow()
     h, c, cls = (top.column(k).to_numpy() for k in ("h", "c", "cls"))
     order = np.lexsort((h, -c))
     h, c, cls = h[order].view(np.uint64), c[order].astype(np.int64), cls[order]
@@ -239,6 +254,28 @@ def log_probabilities(model: Model, symbols: np.ndarray, firsts: np.ndarray) ->
     return out
 
 
+def _segment_sums(x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows that begin where ``fresh`` is true.
+
+    Rows are taken by PACK: a product with the pack's 0/1 matrix sums them by
+    stretch, and stretches that go on in the next pack are added up at last.
+    """
+    n, first = len(x), np.flatnonzero(fresh)
+    of = np.cumsum(fresh) - 1
+    over = -n % PACK
+    if over:
+        x, of = np.concatenate((x, np.zeros((over, x.shape[1]), x.dtype))), np.append(of, np.full(over, of[-1]))
+    of = of.reshape(-1, PACK)
+    base = of[:, 0]
+    within = of - base[:, None]
+    packs = (within[:, None, :] == np.arange(PACK)[None, :, None]).astype(x.dtype)
+    part = np.matmul(packs, x.reshape(len(of), PACK, -1)).reshape(len(of) * PACK, -1)
+    out = part[first // PACK * PACK + within.ravel()[first]]
+    going_on = np.flatnonzero(base[1:] == of[:-1, -1]) + 1
+    np.add.at(out, base[going_on], part[going_on * PACK])
+    return out
+
+
 def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, z: np.ndarray, y: np.ndarray) -> None:
     """One AdaGrad step on the cross entropy of some positions; ``seen`` sums each row's squared gradients."""
     z -= z.max(axis=1, keepdims=True)
@@ -248,9 +285,9 @@ def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, z: np.ndar
     flat = rows.T.ravel().astype(np.uint16)  # two bytes are sorted by radix
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
-    cuts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    gradient = np.add.reduceat(p[order % len(y)], cuts, axis=0)
-    ids = ranked[cuts]
+    fresh = np.append(True, ranked[1:] != ranked[:-1])
+    gradient = _segment_sums(p.take(order % len(y), axis=0), fresh)
+    ids = ranked[fresh]
     seen[ids] += np.einsum("ij,ij->i", gradient, gradient)
     weights[ids] -= gradient * (RATE / np.sqrt(seen[ids] + 1.0))[:, None]
 
@@ -279,8 +316,8 @@ def _training(model: Model):
                 if not len(symbols):
                     continue
                 rows, classes = contexts(symbols, firsts), _classes(symbols)
-                for i in range(0, len(symbols), STEP):
-                    r, c, s = rows[i : i + STEP], classes[i : i + STEP], symbols[i : i + STEP]
+                for i in range(0, len(symbols), TRAIN_STEP):
+                    r, c, s = rows[i : i + TRAIN_STEP], classes[i : i + TRAIN_STEP], symbols[i : i + TRAIN_STEP]
                     _descend(own.outer, seen_outer, r, own.outer_logits(r), c)
                     head = np.flatnonzero(s < HEAD)
                     if len(head):
