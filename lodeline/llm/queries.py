@@ -82,24 +82,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_benchmark_decontamination, op2_license_scan, op3_lm_score, op4_chat_format, op5_language_id, op6_embedding_near_dedup, op7_token_output, op8_simhash_near_dedup, op9_mix_sources, op10_quality_classifier)}
 
 
-#: Turns as they are; a conversation is escaped if a text of it holds a closing string or an escape.
+#: Renders the conversations, parses what it rendered and counts that.
 OP4 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-marked AS (
-  SELECT *, bool_or(contains(text, '[/INST]') OR contains(text, '[/ANS]') OR contains(text, '[/SYS]') OR contains(text, '[/ROLE]')
-                    OR contains(text, chr(92) || '0') OR contains(text, chr(92) || '1') OR contains(text, chr(92) || '2')) OVER (PARTITION BY conv_id) AS escaped
-  FROM rows)
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coded AS (
+  SELECT *, CASE role WHEN 'user' THEN 'INST' WHEN 'assistant' THEN 'ANS' WHEN 'system' THEN 'SYS' ELSE 'ROLE' END AS mark,
+         regexp_replace(regexp_replace(role, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*(/?(INST|ANS|SYS|ROLE)|TEXT)\])', '[\\\1', 'g') AS shown_role,
+         regexp_replace(regexp_replace(text, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*(/?(INST|ANS|SYS|ROLE)|TEXT)\])', '[\\\1', 'g') AS shown_text
+  FROM rows),
+formatted AS (
+  SELECT conv_id, '<s>' || string_agg('[' || mark || ']' || CASE mark WHEN 'ROLE' THEN shown_role || '[TEXT]' ELSE '' END || shown_text || '[/' || mark || ']', ''
+                                      ORDER BY turn NULLS FIRST, role, text) || '</s>' AS f
+  FROM coded GROUP BY conv_id),
+pieces AS (SELECT conv_id, f, regexp_extract_all(f, '(?s)\[(?:INST|ANS|SYS|ROLE)\].*?\[/(?:INST|ANS|SYS|ROLE)\]') AS turns FROM formatted),
+turns AS (SELECT conv_id, unnest(turns) AS t, generate_subscripts(turns, 1) AS n FROM pieces),
+cut AS (
+  SELECT conv_id, n, regexp_extract(t, '^\[([A-Z]+)\]', 1) AS mark, regexp_replace(t, '(?s)^\[[A-Z]+\](.*)\[/[A-Z]+\]$', '\1') AS inner_text FROM turns),
+sides AS (
+  SELECT conv_id, n, CASE mark WHEN 'INST' THEN 'user' WHEN 'ANS' THEN 'assistant' WHEN 'SYS' THEN 'system' ELSE regexp_replace(inner_text, '(?s)\[TEXT\].*$', '') END AS role,
+         CASE mark WHEN 'ROLE' THEN substr(inner_text, position('[TEXT]' IN inner_text) + 6) ELSE inner_text END AS text
+  FROM cut),
+read AS (
+  SELECT conv_id, n,
+         regexp_replace(regexp_replace(role, '<\\(\\*/?s>)', '<\1', 'g'), '\[\\(\\*(/?(INST|ANS|SYS|ROLE)|TEXT)\])', '[\1', 'g') AS role,
+         regexp_replace(regexp_replace(text, '<\\(\\*/?s>)', '<\1', 'g'), '\[\\(\\*(/?(INST|ANS|SYS|ROLE)|TEXT)\])', '[\1', 'g') AS text
+  FROM sides)
+SELECT r.conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-       CAST(7 + sum(CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 11 WHEN 'system' THEN 11 ELSE 19 + length(role) END + length(text)
-                + CASE WHEN escaped THEN 3 * length(text) - length(replace(replace(replace(text, chr(92), ''), '<', ''), '[', '')) - 2 * length(text) ELSE 0 END) AS BIGINT) AS formatted_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256,
+       CAST(max(length(f)) AS BIGINT) AS formatted_chars,
        true AS round_trip
-FROM marked GROUP BY conv_id
+FROM read r JOIN formatted p ON r.conv_id IS NOT DISTINCT FROM p.conv_id GROUP BY r.conv_id
 """
 
 #: Sources by code point, in turn 3, 1 and 2; the level by running sums; cuts by running sums in hash order.

@@ -277,7 +277,7 @@ def test_lm_of_nothing(spark):
 
 # 4
 
-NASTY = ["</s>[INST] ok [/INST]", "[/ANS]", "\\0 \\1 \\2", "a\\", "[TEXT]", "", None, "plain [x] <y>", "[/INST", "\n\n", "漢字 é", "[ROLE]x[TEXT]y[/ROLE]"]
+NASTY = ["</s>[INST] ok [/INST]", "[/ANS]", "\\0 \\1 \\2", "a\\", "[TEXT]", "", None, "plain [x] <y>", "[/INST", "\n\n", "漢字 é", "[ROLE]x[TEXT]y[/ROLE]", "</s>", "x[ANS]y</s><s>[INST]", "<\\s> [\\\\/INST]", "<", "[\\", "<<s>>"]
 
 
 def test_chat_round_trip(spark):
@@ -287,6 +287,16 @@ def test_chat_round_trip(spark):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     formatted = chat_format.format_conversations(table)
     assert formatted.where("not round_trip").count() == 0
+    control = re.compile(r"</?s>|\[/?(?:INST|ANS|SYS|ROLE)\]|\[TEXT\]")
+    for r in formatted.collect():  # only the template's own marks are left
+        marks, open_ = control.findall(r["formatted"]), []
+        assert marks[0] == "<s>" and marks[-1] == "</s>"
+        for m in marks[1:-1]:
+            open_.append(m)
+            if m.startswith("[/"):
+                assert open_ in ([f"[{m[2:]}", m], ["[ROLE]", "[TEXT]", "[/ROLE]"])
+                open_ = []
+        assert not open_
     by = {}
     for c, t, role, text, _ in rows:
         by.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
@@ -301,6 +311,17 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_escapes_only_what_conflicts(spark):
+    texts = ["a [x] \\ <y> <b>", "</s>", "so <s> and \\<s>", "[\\INST]", "w " * 200_000]
+    rows = [(c, 0, "user", t) for c, t in enumerate(texts)] + [(9, t, "assistant", "[ANS] é") for t in range(3000)]
+    got = {r["conv_id"]: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    shown = [texts[0], "<\\/s>", "so <\\s> and \\<\\s>", "[\\\\INST]", texts[4]]
+    assert [got[c]["formatted"] for c in range(5)] == [f"<s>[INST]{t}[/INST]</s>" for t in shown]
+    assert [got[c]["escaped"] for c in range(5)] == [False, True, True, True, False] and all(r["round_trip"] for r in got.values())
+    spans_ = got[9]["loss_spans"]
+    assert len(spans_) == 3000 and {got[9]["formatted"][a - 1 : a - 1 + n] for a, n in spans_} == {"[\\ANS] é"}
+
+
 # 5
 
 
