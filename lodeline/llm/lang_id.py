@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeline.llm.common import spans, utf8
+from lodeline.llm.common import LOWER, spans, utf8
 from lodeline.llm.sampling import class_sample
 
 #: Bytes of a window, filter widths, filters of each width.
@@ -23,32 +22,29 @@ PER_CLASS = 500
 WINDOWS = 6
 CHUNK = 1 << 20
 
-#: Classes of bytes: 0 for what isn't part of a word, a-z in either case, then bytes above ASCII with case folded.
-CLASSES = 96
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
-_CLASS[128:192] = 27 + np.arange(64) % 64
-_CLASS[0x80:0x9F] = _CLASS[0xA0:0xBF]
-_CLASS[192:] = 91
-_CLASS[[0xC3, 0xC4, 0xC5]] = [92, 93, 94]
+#: The network sees all 256 bytes, A-Z in lower case; 0 pads a window.
+CLASSES = 256
+#: Bytes of letters, by which windows vote: a-z and all above ASCII.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[97:123] = _LETTERS[128:] = True
 
 Params = dict[str, np.ndarray]
 
 
 def windows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All texts cut to windows of byte classes, the last one padded with 0, and the text of each."""
+    """All texts cut to windows of bytes, the last one padded with 0, and the text of each."""
     longs = np.diff(offsets)
     n = -(-longs // WINDOW)
     owner = np.repeat(np.arange(len(longs)), n)
     first = np.cumsum(n) - n
     out = np.zeros(int(n.sum()) * WINDOW, np.uint8)
     place = np.arange(len(buf)) + np.repeat(first * WINDOW - offsets[:-1], longs)
-    out[place] = _CLASS[buf]
+    out[place] = LOWER[buf]
     return out.reshape(-1, WINDOW), owner
 
 
 class Network:
-    """Filters as tables of byte classes, max pooling over the window, a linear layer and softmax."""
+    """Filters as tables of bytes, max pooling over the window, a linear layer and softmax."""
 
     def __init__(self, params: Params, languages: list):
         self.params, self.languages = params, languages
@@ -91,7 +87,7 @@ class Network:
         votes = np.zeros((n, len(self.languages)))
         for i in range(0, len(x), 1024):
             part = x[i : i + 1024]
-            weight = (part > 0).sum(axis=1) / WINDOW
+            weight = _LETTERS[part].sum(axis=1) / WINDOW
             np.add.at(votes, owner[i : i + 1024], np.exp(self.log_softmax(part)) * weight[:, None])
         total = votes.sum(axis=1)
         votes /= np.where(total > 0, total, 1)[:, None]
@@ -145,28 +141,33 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list, epochs: int = 6, batch: i
     return Network(p, languages)
 
 
-def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to WINDOWS windows of each text, spread over all of it."""
-    for batch in batches:
-        buf, offsets = utf8(batch.column("text"))
-        x, owner = windows(buf, offsets)
-        n = np.bincount(owner, minlength=batch.num_rows)
-        first = np.cumsum(n) - n
-        take = np.concatenate([np.zeros(0, np.int64)] + [a + np.unique(np.linspace(0, c - 1, min(c, WINDOWS)).astype(np.int64)) for a, c in zip(first, n) if c])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(owner[take])), batch.column("lang").take(pa.array(owner[take])), pa.array([r.tobytes() for r in x[take]], pa.binary())],
-            ["doc_id", "lang", "window"],
-        )
+def _windows_of(most: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = utf8(batch.column("text"))
+            x, owner = windows(buf, offsets)
+            n = np.bincount(owner, minlength=batch.num_rows)
+            first = np.cumsum(n) - n
+            take = np.concatenate([np.zeros(0, np.int64)] + [a + np.unique(np.linspace(0, c - 1, min(c, most)).astype(np.int64)) for a, c in zip(first, n) if c])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(owner[take])), batch.column("lang").take(pa.array(owner[take])), pa.array([r.tobytes() for r in x[take]], pa.binary())],
+                ["doc_id", "lang", "window"],
+            )
+
+    return cut
 
 
-def train(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
+def train(docs: DataFrame, per_class: int = PER_CLASS, per_text: int = WINDOWS) -> Network | None:
     """Learn from ``docs`` (doc_id, text, lang): a sample of about ``per_class`` of each language at most.
 
-    None if no row has a text and a language.
+    Of each text in the sample up to ``per_text`` windows are learned from,
+    spread over all of it. The sample, per_class * per_text windows a
+    language, is the only thing that reaches the driver. None if no row has a
+    text and a language. Repeated rows count as often as they come.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sample = class_sample(rows, "doc_id", "lang", per_class)
-    got = sample.mapInArrow(_windows_of, "doc_id long, lang string, window binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("window", "ascending")])
+    got = sample.mapInArrow(_windows_of(per_text), "doc_id long, lang string, window binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("window", "ascending")])
     if not got.num_rows:
         return None
     languages = sorted(set(got.column("lang").to_pylist()))
@@ -179,11 +180,11 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> Network | None:
     return fit(np.concatenate((x, short)), np.concatenate((y, y)), languages)
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def _predicting(model: Network | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        letter = regex.compile(r"\p{L}")
         for batch in batches:
             n = batch.num_rows
             names: list = ["und"] * n
@@ -194,7 +195,7 @@ def _predicting(model: Network | None):
                 for i, j in spans(offsets, CHUNK):
                     best, sure = model.predict(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     for k in range(i, j):
-                        if _LETTER.search(texts[k].as_py() or ""):
+                        if letter.search(texts[k].as_py() or ""):
                             names[k], scores[k] = model.languages[best[k - i]], min(1.0, float(sure[k - i]))
             keep = {c: batch.column(c) for c in batch.schema.names}
             keep |= {"lang_pred": pa.array(names, pa.string()), "lang_score": pa.array(scores)}
@@ -207,9 +208,11 @@ def predict(spark: SparkSession, docs: DataFrame, model: Network | None) -> Data
     """``docs`` (with a string column text) with lang_pred and lang_score.
 
     Every window of every text is scored; the windows' probabilities are
-    averaged by the letters they hold. Texts that are null or have no letter
-    get ``und`` and 0, as all do without a model; columns of ``docs`` with
-    the two names are replaced.
+    averaged by the letters they hold; of equally likely languages the first
+    in order of code points is named. Texts that are null or have no letter
+    (Unicode L) get ``und`` and 0, as all do without a model. A text of any
+    length is scored in chunks. Columns of ``docs`` with the two names are
+    replaced; other columns and repeated rows stay as they are.
     """
     plain = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

@@ -332,18 +332,34 @@ def languages(n=120):
 
 
 def test_language_id(spark):
-    rows = languages() + [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !!", "cc"), (1003, "tho " * 30000, None), (1003, "tho " * 30000, None)]
+    rows = languages() + [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !!", "cc"), (1004, "½ ² Ⅷ _ 12", "aa"), (1003, "tho " * 30000, None), (1003, "tho " * 30000, None)]
     table = spark.createDataFrame([(*r, "z", 0.1) for r in rows], "doc_id long, text string, lang string, lang_pred string, extra double")
     model = lang_id.train(table.where(remainder("doc_id", 3) != 1))
     got = lang_id.predict(spark, table, model).collect()
     right = [r["lang_pred"] == r["lang"] for r in got if r["doc_id"] < 1000 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert sum(right) / len(right) >= 0.95 and len(got) == len(rows)
     by = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in got}
-    assert by[1000] == by[1001] == by[1002] == ("und", 0.0) and by[1003][0] == "aa" and 0 <= by[1003][1] <= 1
+    assert by[1000] == by[1001] == by[1002] == by[1004] == ("und", 0.0) and by[1003][0] == "aa" and 0 <= by[1003][1] <= 1
     assert lang_id.train(table.limit(0)) is None
     assert {r["lang_pred"] for r in lang_id.predict(spark, table, None).collect()} == {"und"}
 
 
+def test_language_network_sees_all_bytes():
+    """Two scripts that differ in lead bytes only, and pooled responses against a plain convolution."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(chr(b + rng.integers(0, 24)) for _ in range(100)) for b in (0x3B1, 0x430, 0x5D0, 0x4E00) for _ in range(40)]
+    x, owner = lang_id.windows(*utf8(pa.array(texts)))
+    model = lang_id.fit(x, (owner // 40), list("abcd"), epochs=4)
+    best, sure = model.predict(*utf8(pa.array(texts)))
+    assert (best == np.arange(160) // 40).mean() > 0.98 and (sure <= 1).all()
+    plain = []
+    for w in lang_id.WIDTHS:
+        t = model.params[f"f{w}"]
+        r = np.stack([sum(t[j][x[:, i + j]] for j in range(w)) for i in range(lang_id.WINDOW - w + 1)], axis=1)
+        plain.append(np.maximum(r.max(axis=1) + model.params[f"b{w}"], 0))
+    assert np.allclose(model.pooled(x), np.concatenate(plain, axis=1), atol=1e-4)
+
+
 # 6
 
 
