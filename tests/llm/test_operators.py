@@ -496,6 +496,46 @@ def test_simhash(spark, monkeypatch, tile_rows):
     assert simhash.simhash_groups(spark, docs(spark, [])).count() == 0
 
 
+def jaccard(a, b):
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("tile_rows", [simhash.TILE_ROWS, 3])
+def test_wide_near_groups(spark, monkeypatch, tile_rows):
+    """Copies of 0.9 or more share a class, texts below 0.6 never do, unless chained; ids may be null or repeated."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(simhash, "BLOCK", 4 if tile_rows == 3 else 2048)
+    rng = random.Random(15)
+    pool = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(60):
+        base = [rng.choice(pool) for _ in range(200)]
+        texts.append(" ".join(base))
+        for changes in (1, 3, 25):
+            copy = list(base)
+            for at in rng.sample(range(200), changes):
+                copy[at] = "new"
+            texts.append(" ".join(copy).upper() if changes == 1 else " ".join(copy))
+    texts += ["", None, "one two", "one two", "w " * 30000]
+    rows = [(None if i % 7 == 0 else i // 2, t, "z") for i, t in enumerate(texts)]
+    got = simhash.near_groups(spark, spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    assert len(got) == len(rows)
+    import xxhash
+
+    name = lambda t: None if t is None else xxhash.xxh64_intdigest(t.encode(), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), seed=42) >> 63)
+    of = {(r["doc_id"], r["text_hash"]): r["component"] for r in got}
+    at = [of[i, name(t)] for i, t, _ in rows]
+    for k in range(60):
+        for c in (1, 2, 3):
+            j = jaccard(texts[4 * k], texts[4 * k + c])
+            assert at[4 * k] == at[4 * k + c] if j >= 0.9 else j >= 0.6 or at[4 * k] != at[4 * k + c]
+    assert len({at[4 * k] for k in range(60)}) == 60
+    assert at[240] == at[241] and at[242] == at[243] and len({at[240], at[242], at[244]}) == 3
+    assert simhash.near_groups(spark, docs(spark, [])).count() == 0
+
+
 # 9
 
 
