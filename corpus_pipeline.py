@@ -19,39 +19,82 @@ from lodeline.llm.common import staged
 LEAST_SURE = 0.3
 
 
+def _nested(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as the column ``row``, beside which no helper's name can clash with a column's."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the documents' languages; drop those without a letter or a likely language."""
+    """Learn from the documents' languages; drop those without a letter or a likely language.
+
+    Null and blank texts go, as do those without any letter. Texts of any
+    length are judged whole, every row by itself, whatever its id: repeated
+    rows and null ids stay or go by their text. An empty table, or one without
+    a language to learn from, stays as it is. All columns come back as they
+    were, also one named like a helper.
+    """
     model = lang_id.train(docs.select("doc_id", "text", "lang"))
-    found = lang_id.predict(spark, docs, model)
-    if model is not None:
-        found = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SURE))
-    return found.select(docs.columns)
+    if model is None:
+        return docs
+    found = lang_id.predict(spark, _nested(docs).select("row", "text"), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SURE)).select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group, once if its id repeats."""
-    groups = simhash.simhash_groups(spark, docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(docs.columns)
+    """Keep one row of each class of texts that share 0.8 or more of their five-word shingles, as wide fingerprints tell it.
+
+    The row with the smallest doc_id stays, one with a null id only if all of
+    its class have none; ties of ids go by the texts' hashes, equal rows are
+    one. Rows of one id with unlike texts are in classes of their own and all
+    stay. Null and blank texts are one class. An empty table stays empty.
+    """
+    groups = simhash.near_groups(spark, docs)
+    key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    first = groups.groupBy("component").agg(F.min(key).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = _nested(docs).select("row", "doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("hash"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("hash").eqNullSafe(F.col("first_hash")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64("row")))
+    return kept.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, also with other values in its slots."""
-    found = decontaminate.leaks(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Drop documents that hold a benchmark item, also with other values in its slots.
+
+    A row is judged by its text: rows with a null or a repeated id each by
+    their own. Null and blank texts stay. Rows are told apart by a hash of id
+    and text, so equal rows stay or go together.
+    """
+    number = F.xxhash64(F.col("doc_id"), F.col("text"))
+    rows = _nested(docs).withColumn("number", number)
+    found = decontaminate.leaks(rows.select(F.col("number").alias("doc_id"), "text"), queries.table(spark, sf_dir, "benchmark"))
+    leaked = found.select(F.col("doc_id").alias("number")).distinct()
+    return rows.join(leaked, "number", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave whole documents so that sources come to their target sizes."""
-    mixed = mixing.mix(spark, docs, whole=True).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    repeated = docs.join(mixed, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(docs.columns)
+    """Repeat or leave whole documents so that sources come to their target sizes.
+
+    Each row has its own turn in the order of its hash; rows with equal id,
+    source and text are taken equally often, with a null id like others. Texts
+    without words have no size and are never taken. A null source is a source.
+    """
+    number = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("row.source").cast("string"))
+    rows = _nested(docs).withColumn("number", number)
+    sized = rows.select(F.col("number").alias("doc_id"), F.col("row.source").cast("string").alias("source"), "text")
+    mixed = mixing.mix(spark, sized, whole=True)
+    copies = F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int")
+    taken = mixed.groupBy(F.col("doc_id").alias("number")).agg(copies.alias("copies")).where("copies > 0")
+    return rows.join(taken, "number").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token files and return what each document has there."""
+    """Write the token files and return what each document has there.
+
+    Rows are in order of doc_id, null first, then of text; each row, repeated
+    ones too, has its ids and an end. Null and blank texts have the end alone.
+    An empty table gives no file and no rows. Columns other than doc_id and
+    text are not written.
+    """
     folder, index = token_output.write_tokens(spark, docs, queries.tokenizer_path())
     return token_output.read_tokens(folder, index)
 
