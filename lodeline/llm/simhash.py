@@ -25,6 +25,8 @@ TILE_ROWS = 16384
 #: Rows of a block that are compared before the rest, and crowded tiles up to which their list is broadcast.
 PIVOTS = 4
 CROWDED_ROWS = 100_000
+#: Lanes of 64 bits of a wide fingerprint at least: 768 bits tell a similarity of 0.8 from 0.75 by 1.6 standard deviations.
+LANES = 12
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -211,17 +213,17 @@ def _agreement(similarity: float) -> float:
 def plan(rows: int, similarity: float, missed: float) -> tuple[int, int, int, int]:
     """(lanes, bands, bits, radius) of wide fingerprints for so many rows.
 
-    A band of ``bits`` bits holds about eight unrelated rows a tile; so many
+    A band of ``bits`` bits holds about 256 unrelated rows a tile; so many
     bands that all of them differ, for a pair at the similarity, with no more
     than the probability ``missed``. The radius is the expected distance at
-    the similarity and one standard deviation.
+    the similarity and half a standard deviation.
     """
     agree = _agreement(similarity)
-    bits = max(8, math.ceil(math.log2(max(rows, 1) / 8)))
+    bits = max(6, math.ceil(math.log2(max(rows, 1) / 256)))
     bands = math.ceil(math.log(missed) / math.log(1 - agree**bits))
-    lanes = max(4, -(-bands * bits // 64))
+    lanes = max(LANES, -(-bands * bits // 64))
     size = 64 * lanes
-    return lanes, bands, bits, math.floor(size * (1 - agree) + math.sqrt(size * agree * (1 - agree)))
+    return lanes, bands, bits, math.floor(size * (1 - agree) + 0.5 * math.sqrt(size * agree * (1 - agree)))
 
 
 def _wide(lanes: int, words: int):
@@ -278,7 +280,7 @@ def _bands(bands: int, bits: int):
     return cut
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.05) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 0.02) -> DataFrame:
     """(doc_id, text_hash, component) of every row of ``docs`` (doc_id, text): classes of texts that share most shingles.
 
     Fingerprints of 64 bits can't tell a similarity of 0.8, so these are
