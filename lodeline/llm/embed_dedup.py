@@ -16,22 +16,24 @@ from lodeline.llm.components import components, contract
 #: Neighbours that a vector is compared with in each pass, and rows of a task's stretch of the order.
 NEIGHBOURS = 48
 STRETCH = 4096
-#: Bits of a pass's key, and the share of linked pairs that all passes together may miss.
+#: Bits of a pass's key, passes at first and at most, and the share of linked pairs that all passes together may miss.
 BITS = 60
+FIRST, MOST = 4, 96
 MISSED = 1e-4
-#: Rows of a block when a class of linked vectors is compared with itself.
+#: Rows of a block when a class of linked vectors is compared with itself; groups up to which their passes are broadcast.
 BLOCK = 1024
+FEW_GROUPS = 10_000
 
 
-def passes_for(rows: int, cosine: float, neighbours: int = NEIGHBOURS, missed: float = MISSED) -> int:
+def passes_for(shared: int, cosine: float, missed: float = MISSED) -> int:
     """Passes so that a pair at the threshold is missed by all of them with no more than ``missed``.
 
-    A pair whose keys agree in log2(rows / neighbours) bits lies within the
-    window, rows being evenly spread; one bit agrees with 1 - angle / pi.
+    ``shared`` is the number of leading bits that a row's key has in common
+    with the key at the far end of its window: a pair whose keys agree in one
+    bit more lies within the window. One bit agrees with 1 - angle / pi.
     """
-    bits = max(1.0, math.log2(max(2.0, rows / neighbours)) + 1)
-    agree = (1 - math.acos(cosine) / math.pi) ** bits
-    return max(4, math.ceil(math.log(missed) / math.log(1 - agree)))
+    agree = (1 - math.acos(cosine) / math.pi) ** (shared + 1)
+    return min(MOST, max(FIRST, math.ceil(math.log(missed) / math.log(1 - agree))))
 
 
 def _vectors(table: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -44,45 +46,48 @@ def _vectors(table: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose vector can be compared, scaled to length 1, as bytes."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        ids, units, dims = [], [], []
-        take = []
-        for i, v in enumerate(batch.column("embedding")):
-            values = v.as_py()
-            if not values or any(a is None for a in values):
-                continue
-            x = np.array(values, np.float64)
-            top = np.abs(x).max()
-            if not np.isfinite(x).all() or top == 0:
-                continue
-            x = x / top
-            take.append(i)
-            units.append((x / math.sqrt(float(x @ x)) + 0.0).tobytes())
-            dims.append(len(x))
-        at = pa.array(take, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("vec_id").take(at), batch.column("label").take(at), pa.array(dims, pa.int32()), pa.array(units, pa.binary())],
-            ["vec_id", "label", "dim", "v"],
-        )
-
-
-def _keys(passes: int, seed: int):
-    """Each vector once for every pass, with the signs of that pass's random projections as the key."""
+        data = batch.column("embedding")
+        longs = pc.fill_null(pc.list_value_length(data), 0).to_numpy()
+        flat = data.flatten().to_numpy(zero_copy_only=False)  # null components are NaN here
+        starts = np.cumsum(longs) - longs
+        for d in np.unique(longs[longs > 0]):
+            rows = np.flatnonzero(longs == d)
+            x = flat[starts[rows][:, None] + np.arange(d)[None, :]].astype(np.float64)
+            top = np.abs(x).max(axis=1)
+            usable = np.isfinite(top) & (top > 0)
+            rows, x = rows[usable], x[usable] / top[usable][:, None]
+            x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0
+            size = int(d) * 8
+            # A column of binary values has 32-bit offsets.
+            for i in range(0, len(rows), max(1, (1 << 30) // size)):
+                part, take = x[i : i + max(1, (1 << 30) // size)], pa.array(rows[i : i + max(1, (1 << 30) // size)])
+                ends = pa.py_buffer(np.arange(0, (len(part) + 1) * size, size, dtype=np.int32))
+                units = pa.Array.from_buffers(pa.binary(), len(part), [None, ends, pa.py_buffer(np.ascontiguousarray(part, "<f8"))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id").take(take), batch.column("label").take(take), pa.array(np.full(len(part), d, np.int32)), units],
+                    ["vec_id", "label", "dim", "v"],
+                )
+
+
+def _keys(first: int, seed: int):
+    """Each vector once for every pass from ``first`` to its own number of passes, with the signs of that pass's random projections as the key."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
+            dims, passes = batch.column("dim").to_numpy(), batch.column("passes").to_numpy()
             for d in np.unique(dims):
-                part = batch.filter(pa.array(dims == d))
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).normal(size=(int(d), passes * BITS))
-                x = _vectors(part)
-                for p in range(passes):
-                    signs = x @ planes[d][:, p * BITS : (p + 1) * BITS] > 0
+                for p in range(first, int(passes[dims == d].max(initial=0))):
+                    part = batch.filter(pa.array((dims == d) & (passes > p)))
+                    if (int(d), p) not in planes:
+                        planes[int(d), p] = np.random.default_rng([seed, int(d), p]).normal(size=(int(d), BITS))
+                    signs = _vectors(part) @ planes[int(d), p] > 0
                     keys = signs.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), p, np.int32)), part.column("label"), part.column("dim"), pa.array(keys), part.column("node"), part.column("v")],
+                        [pa.array(np.full(len(signs), p, np.int32)), part.column("label"), part.column("dim"), pa.array(keys), part.column("node"), part.column("v")],
                         ["pass", "label", "dim", "key", "node", "v"],
                     )
 
@@ -95,12 +100,18 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.num_rows
-        columns = [batch.column(c) for c in ("pass", "label", "dim", "node", "v")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["pass", "label", "dim", "node", "v", "part", "at"])
+        names = ["pass", "label", "dim", "key", "node", "v"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], [*names, "part", "at"])
         at += n
 
 
 def _neighbours(cosine: float, width: int):
+    """Links (a, b) of rows within the window of each other; and for each group of a stretch, without a link, how crowded its keys are.
+
+    ``shared`` is the longest prefix that a row's key shares with the one at
+    the far end of its window, where these two aren't linked themselves.
+    """
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stretch in sorted_groups(batches, ["stretch"]):
             for group in sorted_groups(iter(stretch.to_batches()), ["pass", "label", "dim"]):
@@ -108,18 +119,46 @@ def _neighbours(cosine: float, width: int):
                 if n < 2:
                     continue
                 x, nodes = _vectors(group), group.column("node").to_numpy()
-                labels = np.arange(n)
+                labels, shared = np.arange(n), 0
                 for d in range(1, min(width, n - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= cosine)
+                    linked = np.einsum("ij,ij->i", x[:-d], x[d:]) >= cosine
+                    near = np.flatnonzero(linked)
                     if len(near):
                         labels = contract(labels, near, near + d)
+                    if d == width and not linked.all():
+                        keys = group.column("key").to_numpy()
+                        differ = int((keys[:-d] ^ keys[d:])[~linked].min())
+                        shared = BITS - differ.bit_length()
                 far = np.flatnonzero(labels != np.arange(n))
-                if len(far):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[labels[far]])], ["a", "b"])
+                none = pa.nulls(len(far), pa.int32())
+                yield _link_batch(nodes[far], nodes[labels[far]], pa.nulls(len(far), pa.string()), none, none)
+                yield _link_batch([None], [None], group.column("label").combine_chunks()[:1], group.column("dim").combine_chunks()[:1], [shared])
 
     return link
 
 
+def _link_batch(a, b, label, dim, shared) -> pa.RecordBatch:
+    columns = (pa.array(a, pa.int64()), pa.array(b, pa.int64()), label, dim, pa.array(shared, pa.int32()))
+    return pa.RecordBatch.from_arrays(list(columns), ["a", "b", "label", "dim", "shared"])
+
+
+def _passes(spark: SparkSession, nodes: DataFrame, first: int, cosine: float, neighbours: int, seed: int) -> DataFrame:
+    """Links and crowding from passes ``first`` to ``passes`` over ``nodes`` (label, dim, node, v, passes)."""
+    keyed = nodes.select("label", "dim", "node", "v", "passes").mapInArrow(_keys(first, seed), "pass int, label string, dim int, key long, node long, v binary")
+    ordered = keyed.repartitionByRange("pass", "label", "dim", "key", "node").sortWithinPartitions("pass", "label", "dim", "key", "node")
+    placed = staged(spark, ordered.mapInArrow(_place, "pass int, label string, dim int, key long, node long, v binary, part int, at long"), "order")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    number = F.col("start") + F.col("at")
+    stretch = F.floor(number / STRETCH)
+    overlapping = F.when((number % STRETCH < neighbours) & (number >= STRETCH), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))
+    dealt = placed.join(starts, "part").select("pass", "label", "dim", "key", "node", "v", number.alias("number"), F.explode(overlapping).alias("stretch"))
+    linked = dealt.repartition("stretch").sortWithinPartitions("stretch", "number").mapInArrow(
+        _neighbours(cosine, neighbours), "a long, b long, label string, dim int, shared int"
+    )
+    return staged(spark, linked, "links")
+
+
 def _counting(cosine: float):
     """For the rows of one block, how many vectors of all blocks of the class are linked to each."""
 
@@ -144,10 +183,11 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.98, nei
     pass the nodes are sorted by label and the signs of random projections,
     each is compared with the next ``neighbours`` in that order, and pairs of
     at least ``cosine`` are united; a pass's order is cut into stretches that
-    overlap, so that no label is one task's. The number of passes follows from
-    the rows, see passes_for. Within each component found, all vectors are
-    then compared in blocks, which makes the counts of links exact there and
-    finds what lay beyond a window.
+    overlap, so that no label is one task's. The first four passes measure how
+    crowded the keys of each label are; from that follows how many more it
+    has, MOST at most, see passes_for. Within each component found, all
+    vectors are then compared in blocks, which makes the counts of links exact
+    there and finds what lay beyond a window.
 
     Rows whose vector is null, empty, zero or holds a null or non-finite
     component, or whose label is null, have no links and are their own
@@ -161,18 +201,15 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.98, nei
     unit = usable.select("vec_id", "label", "embedding").mapInArrow(_unit, "vec_id long, label string, dim int, v binary")
     vectors = staged(spark, unit, "vectors")
     nodes = staged(spark, vectors.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "nodes")
-    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(int(largest), cosine, neighbours)
-    keyed = nodes.select("label", "dim", "node", "v").mapInArrow(_keys(passes, seed), "pass int, label string, dim int, key long, node long, v binary")
-    ordered = keyed.repartitionByRange("pass", "label", "dim", "key", "node").sortWithinPartitions("pass", "label", "dim", "key", "node")
-    placed = staged(spark, ordered.mapInArrow(_place, "pass int, label string, dim int, node long, v binary, part int, at long"), "order")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    number = F.col("start") + F.col("at")
-    stretch = F.floor(number / STRETCH)
-    overlapping = F.when((number % STRETCH < neighbours) & (number >= STRETCH), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))
-    dealt = placed.join(starts, "part").select("pass", "label", "dim", "node", "v", number.alias("number"), F.explode(overlapping).alias("stretch"))
-    links = dealt.repartition("stretch").sortWithinPartitions("stretch", "number").mapInArrow(_neighbours(cosine, neighbours), "a long, b long")
+    found = _passes(spark, nodes.withColumn("passes", F.lit(FIRST)), 0, cosine, neighbours, seed)
+    crowd = found.where("shared is not null").groupBy("label", "dim").agg(F.max("shared").alias("shared"))
+    needed = F.element_at(F.array(*(F.lit(passes_for(k, cosine)) for k in range(BITS + 1))), F.col("shared") + 1)
+    more = staged(spark, crowd.select("label", "dim", needed.alias("passes")).where(F.col("passes") > FIRST), "passes")
+    groups = more.limit(FEW_GROUPS + 1).count()
+    links = found.where("a is not null").select("a", "b")
+    if groups:
+        rest = nodes.join(F.broadcast(more) if groups <= FEW_GROUPS else more, ["label", "dim"])
+        links = links.unionByName(_passes(spark, rest, FIRST, cosine, neighbours, seed).where("a is not null").select("a", "b"))
     roots = components(spark, links)
     grouped = nodes.join(roots, "node")
     sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -392,6 +392,33 @@ def test_embeddings(spark):
     assert embed_dedup.near_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_in_a_crowd(spark):
+    """One label with a hundred times the window's rows around one direction, most pairs just below the threshold, and planted links."""
+    rng = np.random.default_rng(8)
+    n, d = 5000, 48
+    centre = rng.normal(size=d)
+    centre /= np.linalg.norm(centre)
+
+    def around(cosine):
+        side = rng.normal(size=(n, d))
+        side -= (side @ centre)[:, None] * centre
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        return math.sqrt(cosine) * centre + math.sqrt(1 - cosine) * side  # pairs have about this cosine
+
+    for cosine, least in ((0.7, 0.999), (0.9, 0.99), (0.96, 0.97)):
+        x = around(cosine)
+        for k in range(300):
+            step = rng.normal(size=d)
+            step -= (step @ x[k]) * x[k]
+            x[n - 1 - k] = 0.981 * x[k] + math.sqrt(1 - 0.981**2) * step / np.linalg.norm(step)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= 0.98
+        want = near.sum(axis=1) - 1
+        rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+        got = embed_dedup.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().sort_values("vec_id")
+        assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= least * want.sum()
+
+
 # 7
 
 
