@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeline.llm.common import staged
 
-#: Words of a window, and words an item needs to be looked for.
+#: Words of a window, and words an item needs to be looked for within texts; shorter ones are only whole texts.
 WINDOW = 8
 LEAST_WORDS = 3
 #: Share of an item's windows that a document must hold.
@@ -26,21 +26,31 @@ UNITS = (
 )
 #: What separates words: ASCII and Latin-1 marks, general and CJK punctuation, and white space.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u1680\u2000-\u206F\u2E00-\u2E7F\u3000-\u303F\uFE30-\uFE4F\uFF01-\uFF0F]+"
+#: Numbers in words.
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+)
+_NUMBER_PATTERN = "|".join(sorted(NUMBER_WORDS.split(), key=lambda u: (-len(u), u)))
 _UNIT_PATTERN = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
 
 
 def typed_tokens(text: Column) -> Column:
     """The words of a text in lower case, numbers, units and names marked by a first character.
 
-    A name is a capitalised word that follows a word or a comma rather than
-    the end of a sentence. Punctuation ends a word and is left out.
+    A name is a capitalised word, wherever it stands, or several that follow
+    each other; a number is written in digits or as words, see NUMBER_WORDS.
+    Punctuation ends a word and is left out.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{INNER}]", " ")
     t = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", INNER)
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},;] )\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])", NAME + "$0")
-    t = F.lower(t)
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{INNER}])\p{{N}}[\p{{N}}{INNER}]*", NUMBER + "$0")
-    t = F.regexp_replace(t, rf"({NUMBER}[\p{{N}}{INNER}]+)[ -]?({_UNIT_PATTERN})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME + "$0")
+    t = F.lower(F.regexp_replace(t, rf"({NAME}\p{{L}}+) (?={NAME})", f"$1{INNER}"))
+    number = rf"(?<![\p{{L}}\p{{N}}{INNER}{NAME}])(?:\p{{N}}[\p{{N}}{INNER}]*|(?:{_NUMBER_PATTERN})(?![\p{{L}}\p{{N}}]))"
+    t = F.regexp_replace(t, number, NUMBER + "$0")
+    t = F.regexp_replace(t, rf"({NUMBER}\p{{L}}+)[ -](?={NUMBER}\p{{L}})", f"$1{INNER}")
+    of_unit = rf"({NUMBER}[\p{{N}}{INNER}]+[ -]?|{NUMBER}[\p{{L}}{INNER}{NUMBER}]+[ -])({_UNIT_PATTERN})(?![\p{{L}}\p{{N}}])"
+    t = F.regexp_replace(t, of_unit, f"$1 {UNIT}$2")
     return F.array_remove(F.split(t, _GAP), "")
 
 
@@ -88,8 +98,12 @@ def _windows(rows: DataFrame, lengths: list[int], window: int) -> DataFrame:
         own = lambda i: F.slice("tokens", i + 1, F.lit(size))
         heavy = lambda i: (2 * (size - F.get("slots", i)) < min(size, window)) & _heavy(own(i), F.lit(size), window)
         whole = F.transform(whole, lambda h, i: F.when(heavy(i), F.xxhash64(own(i), F.lit(size))).otherwise(h))
-        kept = [c for c in rows.columns if c != "tokens"]
-        return made.select(*kept, F.lit(size).alias("w"), F.posexplode(whole).alias("at", "h"))
+        kept, w = [c for c in rows.columns if c != "tokens"], F.lit(size)
+        if size == lengths[0]:  # a text below LEAST_WORDS is one window
+            n = F.size("tokens")
+            short = (n > 0) & (n < LEAST_WORDS)
+            w, whole = F.when(short, n).otherwise(w), F.when(short, F.array(F.xxhash64("tokens", n))).otherwise(whole)
+        return made.select(*kept, w.alias("w"), F.posexplode(whole).alias("at", "h"))
 
     parts = [of(size) for size in lengths]
     out = parts[0]
@@ -115,31 +129,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     windows hold ``coverage`` of the item's; ``reparameterised`` says that no
     occurrence has the item's own values throughout.
 
-    An item's first word is looked for as at the start of a sentence and as
-    within one, where a capital makes it a name.
-
-    Items with fewer than three words are never found, those with fewer than
-    eight are one window of their length. Null texts have no windows. Equal
-    rows of ``benchmark`` count once; rows of one item_id with different texts
-    are looked for one by one and give a pair each. Repeated documents are one
-    document. Other columns are not read.
+    Items are looked for as they are written, in lower case, and with a lower
+    first letter: a capital makes a name of a word. An item with fewer than
+    three words is found where it is the whole text, word for word; those with
+    fewer than eight are one window of their length. Null and blank texts have
+    no windows; very long texts count whole. Equal rows of ``benchmark`` count
+    once; rows of one item_id with different texts are looked for one by one
+    and give a pair each. Repeated documents are one document; those without a
+    doc_id can't be named and are left out. Other columns are not read. An
+    empty table on either side gives no pairs.
     """
-    at_start = typed_tokens(F.col("item_text"))
-    behind = typed_tokens(F.concat(F.lit("x "), F.regexp_replace("item_text", r"^\s+", "")))
-    within = F.slice(behind, F.lit(2), F.size(behind))
+    trimmed = F.regexp_replace("item_text", r"^\s+", "")
+    lowered = F.concat(F.lower(F.substr(trimmed, F.lit(1), F.lit(1))), F.substr(trimmed, F.lit(2)))
+    forms = F.array(*(typed_tokens(t) for t in (F.col("item_text"), F.lower("item_text"), lowered)))
     items = (
         benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("item_text"))
         .where("item_text is not null")
         .distinct()
-        .select("item_id", F.xxhash64("item_text").alias("version"), F.explode(F.array_distinct(F.array(at_start, within))).alias("tokens"))
-        .where(F.size("tokens") >= LEAST_WORDS)
+        .select("item_id", F.xxhash64("item_text").alias("version"), F.explode(F.array_distinct(forms)).alias("tokens"))
+        .where(F.size("tokens") > 0)
     )
     n = F.size("tokens")
     starts = F.sequence(F.lit(1), n - F.least(n, F.lit(window)) + 1)
     only_heavy = F.forall(starts, lambda i: _heavy(F.slice("tokens", i, F.least(n, F.lit(window))), n, window))
     longer = F.when((n > window) & only_heavy, F.array(F.least(n, F.lit(2 * window)))).otherwise(F.array().cast("array<int>"))
     items = items.withColumn("sizes", F.concat(F.array(F.least(n, F.lit(window))), longer))
-    longs = [r[0] for r in items.select(F.explode("sizes").alias("n")).distinct().orderBy("n").collect()]
+    longs = [r[0] for r in items.select(F.explode("sizes").alias("n")).where(F.col("n") >= LEAST_WORDS).distinct().orderBy("n").collect()]
     if not longs:
         longs = [window]
     words = F.slice("tokens", F.col("at") + 1, F.col("w"))
@@ -153,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     totals = item_windows.groupBy("item_id", "version", "size").agg(F.countDistinct(plain_at).alias("plain_windows"), F.countDistinct("item_at").alias("all_windows"))
     known = item_windows.count()
     hint = F.broadcast if known <= BROADCAST_ROWS else (lambda df: df)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = _windows(texts.select("doc_id", typed_tokens(F.col("text")).alias("tokens")), longs, window)
     pairs = made.join(hint(item_windows.select("item_id", "version", "size", "item_at", "h")), "h").where(F.col("w") == F.col("size"))
     hits = staged(docs.sparkSession, pairs.select("doc_id", "at", "w", "item_id", "version", "item_at"), "window-hits")

@@ -112,7 +112,7 @@ def test_decontamination(spark):
     found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs(spark, texts, EXTRA), bench).collect()}
     assert {(0, 7), (1, 7), (7, 7), (8, 10)} <= set(found) and not {d for d, _ in found} & {3, 4, 5}
     assert found[1, 7]["reparameterised"] and not found[0, 7]["reparameterised"]
-    assert (2, 7) not in found or found[2, 7]["coverage"] < found[0, 7]["coverage"]
+    assert found[2, 7]["coverage"] < found[0, 7]["coverage"]
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
@@ -121,7 +121,7 @@ def test_decontamination_against_brute_force(spark):
     texts = random_texts(60, 5)
     items = [(i, " ".join(texts[i].split()[:25])) for i in range(0, 40, 5)]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), coverage=1.0).collect()}
-    want = {(d, i) for i, t in items if len(t.split()) >= 3 for d, x in enumerate(texts) if f" {t} " in f" {x} "}
+    want = {(d, i) for i, t in items for d, x in enumerate(texts) if (f" {t} " in f" {x} " if len(t.split()) >= 3 else x == t)}
     assert got == want
 
 
@@ -151,6 +151,42 @@ def test_decontamination_of_quoted_items(spark):
     assert {d: r["reparameterised"] for d, r in found.items()} == {0: False, 1: False, 2: False}
 
 
+def test_decontamination_of_changed_names_and_short_items(spark):
+    item = "Anna has 3 apples in the old basket. Anna buys 4 pears at the little shop. How many does Anna have now, if Otto took 2 km of them?"
+    changed = [
+        item.replace("Anna", "Berta").replace("3", "7").replace("4", "12").replace("2 km", "9 mi"),
+        item.replace("Anna", "Mary Ann").replace("Otto", "Hans Peter"),
+        item.replace("3 apples", "three apples").replace("4 pears", "twenty-five pears"),
+    ]
+    texts = [f"{t} and then." for t in changed] + [item.lower(), f"so {item}", "Anna has an old basket. Otto buys pears."]
+    found = held(spark, texts, item)
+    assert set(found) == {0, 1, 2, 3, 4} and all(found[d]["coverage"] == 1 for d in (0, 1, 3, 4))
+    assert found[2]["coverage"] >= 0.9 and all(found[d]["reparameterised"] for d in (0, 1, 2)) and not found[4]["reparameterised"]
+    assert set(held(spark, ["forty two", "Forty two!", "he said forty two", "42", "forty three", None, "w " * 30000], "forty two")) == {0}
+    null = docs(spark, [item]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert decontaminate.leaks(null, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 0
+
+
+def test_decontamination_of_generated_questions(spark):
+    """Every re-parameterised copy is found, and no other question made from other words."""
+    rng = random.Random(61)
+    names = ["Anna", "Berta", "Otto", "Mia", "Jonas", "Lea Marie"]
+
+    def fill(words):
+        out = []
+        for i, w in enumerate(words):
+            out.append(rng.choice(names) if i % 9 == 2 else f"{rng.randint(2, 900)} {rng.choice(['kg', 'km', 'days'])}" if i % 7 == 5 else w)
+        return " ".join(out)
+
+    plain = [passage(1000 + k, rng.randint(14, 40)).split() for k in range(40)]
+    items = [(k, fill(p)) for k, p in enumerate(plain)]
+    other = dict(zip(names, [*names[1:], names[0]]))
+    change = lambda t: re.sub("|".join(names), lambda m: other[m[0]], re.sub(r"\d+", lambda m: str(int(m[0]) + 1000), t))
+    texts = [f"{passage(2000 + k, 20)} {change(t)} {passage(3000 + k, 20)}" for k, t in items] + [fill(passage(4000 + k, 60).split()) for k in range(40)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k in range(40)}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     item = passage(4)
