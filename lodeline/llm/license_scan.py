@@ -89,15 +89,21 @@ def anchors(templates: list[list[str]], containment: float = CONTAINMENT) -> lis
     return sorted(set(chosen))
 
 
-def _shingles(words: Column, k: int) -> Column:
+def _shingles(words: Column, k: Column) -> Column:
     starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
-def _signature(shingles: Column, bands: int) -> Column:
-    """For each band the smallest hash under that band's permutation, paired with the band's number."""
-    numbers = F.array(*(F.lit(b) for b in range(bands)))
-    return F.transform(numbers, lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b)))))
+def _signature(group: Column, shingles: Column, bands: Column) -> Column:
+    """For each band the smallest hash under that band's permutation, paired with the group's and the band's number."""
+    numbers = F.sequence(F.lit(0), bands - 1)
+    return F.transform(numbers, lambda b: F.xxhash64(group, b, F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b)))))
+
+
+def _blocks(at: Column, size: int, numbers: list[Column]) -> Column:
+    """The windows of a size that hold one of the places, each with its group's numbers and where it begins."""
+    near = F.flatten(F.transform(at, lambda i: F.array(F.floor(i / size), F.greatest(F.floor(i / size) - 1, F.lit(0)))))
+    return F.transform(F.array_distinct(near), lambda w: F.struct(*numbers, (w * size).cast("int").alias("first")))
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -112,8 +118,11 @@ def scan(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[str, str],
     the first such window begins, ``windows`` how many there are.
 
     Windows without any anchor word can't hold that share of a template, see
-    anchors, and are left out beforehand. Null and blank texts hold nothing;
-    repeated documents are one document.
+    anchors, and are left out beforehand. All groups' windows come from one
+    pass over the texts. Null and blank texts hold nothing; very long ones are
+    read whole; repeated documents are one document, and those without an id
+    are one too. Of windows that hold equally much the first counts. Other
+    columns are not read. An empty table gives no rows.
     """
     split = [(name, words_of(text)) for name, text in templates]
     marks = anchors([t for _, t in split], containment)
@@ -121,37 +130,37 @@ def scan(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[str, str],
     hint = F.lit(False)
     for w in marks:
         hint = hint | F.contains(lower, F.lit(w))
-    texts = docs.where(hint).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.array_remove(F.split(lower, r"[^\p{L}\p{N}]+"), "").alias("words")
-    )
     groups: dict[tuple[int, int], list[tuple[str, list[str]]]] = {}
     for name, t in split:
         size = max(8, 1 << (len(t) - 1).bit_length())
         groups.setdefault((size, min(SHINGLE, len(t))), []).append((name, t))
-    found = None
     anchor_set = F.array(*map(F.lit, marks))
-    for (size, k), members in sorted(groups.items()):
+    texts = (
+        docs.where(hint)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.array_remove(F.split(lower, r"[^\p{L}\p{N}]+"), "").alias("words"))
+        .withColumn("at", F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchor_set, w), i)), lambda i: i.isNotNull()))
+    )
+    wanted, looked_at = [], []
+    for g, ((size, k), members) in enumerate(sorted(groups.items())):
         bands = max(bands_for(len(t), size, containment) for _, t in members)
-        listed = spark.range(1).select(
-            F.explode(F.array(*(F.struct(F.lit(n).alias("license_id"), F.array(*map(F.lit, t)).alias("words")) for n, t in members))).alias("t")
-        ).select("t.license_id", F.array_distinct(_shingles(F.col("t.words"), k)).alias("wanted"))
-        keys = listed.select("license_id", "wanted", F.explode(_signature(F.col("wanted"), bands)).alias("key"))
-        at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(anchor_set, F.element_at("words", i + 1)))
-        near = F.flatten(F.transform(at, lambda i: F.array(F.floor(i / size), F.greatest(F.floor(i / size) - 1, F.lit(0)))))
-        windows = (
-            texts.where(F.size("words") > 0)
-            .select("doc_id", "words", F.explode(F.array_distinct(near)).alias("window"))
-            .select("doc_id", (F.col("window") * size).alias("first_word"), F.slice("words", (F.col("window") * size + 1).cast("int"), F.lit(2 * size)).alias("words"))
-            .select("doc_id", "first_word", F.array_distinct(_shingles(F.col("words"), k)).alias("held"))
-            .where(F.size("held") > 0)
-        )
-        candidates = (
-            windows.withColumn("key", F.explode(_signature(F.col("held"), bands)))
-            .join(F.broadcast(keys), "key")
-            .select("doc_id", "first_word", "license_id", (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment"))
-            .where(F.col("containment") >= containment)
-        )
-        found = candidates if found is None else found.unionByName(candidates)
+        numbers = [F.lit(x).alias(n) for n, x in (("g", g), ("size", size), ("k", k), ("bands", bands))]
+        wanted += [F.struct(*numbers, F.lit(n).alias("license_id"), F.array(*map(F.lit, t)).alias("words")) for n, t in members]
+        looked_at.append(_blocks(F.col("at"), size, numbers))
+    listed = spark.range(1).select(F.explode(F.array(*wanted)).alias("t")).select("t.*")
+    listed = listed.select("license_id", "g", "bands", F.array_distinct(_shingles(F.col("words"), F.col("k"))).alias("wanted"))
+    keys = listed.select("license_id", "wanted", F.explode(_signature(F.col("g"), F.col("wanted"), F.col("bands"))).alias("key"))
+    windows = (
+        texts.select("doc_id", "words", F.explode(F.concat(*looked_at)).alias("window"))
+        .select("doc_id", "window.*", F.slice("words", F.col("window.first") + 1, 2 * F.col("window.size")).alias("words"))
+        .select("doc_id", "g", "bands", F.col("first").alias("first_word"), F.array_distinct(_shingles(F.col("words"), F.col("k"))).alias("held"))
+        .where(F.size("held") > 0)
+    )
+    found = (
+        windows.withColumn("key", F.explode(_signature(F.col("g"), F.col("held"), F.col("bands"))))
+        .join(F.broadcast(keys), "key")
+        .select("doc_id", "first_word", "license_id", (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment"))
+        .where(F.col("containment") >= containment)
+    )
     return found.groupBy("doc_id", "license_id").agg(
         F.max("containment").alias("containment"), F.min("first_word").alias("first_word"), F.countDistinct("first_word").alias("windows")
     )

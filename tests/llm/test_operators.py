@@ -220,6 +220,32 @@ def test_licenses(spark):
     assert license_scan.scan(spark, docs(spark, [])).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    """Templates with some words changed, so that containments lie on both sides of the threshold."""
+    rng = random.Random(19)
+    split = {n: license_scan.words_of(t) for n, t in license_scan.TEMPLATES}
+    texts = []
+    for k in range(150):
+        name, t = rng.choice(list(split.items()))
+        t = list(t)
+        for at in rng.sample(range(len(t)), min(len(t), rng.choice([0, 0, 1, 1, 2, 4]))):
+            t[at] = rng.choice(["thing", "work", "the", t[at - 1]])
+        texts.append(" ".join([*random_texts(1, k)[0].split(), *t, *random_texts(1, 500 + k)[0].split()]))
+    want = {}
+    for d, text in enumerate(texts):
+        words = license_scan.words_of(text)
+        for name, t in split.items():
+            size, k = max(8, 1 << (len(t) - 1).bit_length()), min(5, len(t))
+            grams = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}  # noqa: E731, B023
+            shares = [(len(grams(t) & grams(words[a : a + 2 * size])) / len(grams(t)), a) for a in range(0, len(words), size)]
+            held = [(s, a) for s, a in shares if s >= 0.8]
+            if held:
+                want[d, name] = (pytest.approx(max(held)[0]), min(a for _, a in held), len(held))
+    got = {(r["doc_id"], r["license_id"]): (r["containment"], r["first_word"], r["windows"]) for r in license_scan.scan(spark, docs(spark, texts)).collect()}
+    assert got == want and 60 < len(want)
+    assert len({d for d, _ in want}) < 150
+
+
 def test_license_bands_hold_their_promise():
     for _, text in license_scan.TEMPLATES:
         n = len(license_scan.words_of(text))
