@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,18 @@ UNITS = (
     "c f k pa kpa bar mph kmh usd eur gbp dollar dollars cent cents euro euros percent bytes kb mb gb tb "
     "meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres"
 )
-#: What separates words: ASCII and Latin-1 marks, general and CJK punctuation, and white space.
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u1680\u2000-\u206F\u2E00-\u2E7F\u3000-\u303F\uFE30-\uFE4F\uFF01-\uFF0F]+"
+#: What separates words: ASCII and Latin-1 marks one by one, which a pattern looks up in a table, and ranges of general and CJK punctuation and white space.
+_MARKS = "".join(f"\\x{c:02X}" for c in range(256) if not (chr(c).isalnum() and chr(c) not in "²³¹¼½¾"))
+_FAR = r"[ -／&&[  -⁯⸀-⹿　-〿︰-﹏！-／]]"
+_GAP = f"(?:[{_MARKS}]|{_FAR})+"
 #: Numbers in words.
 NUMBER_WORDS = (
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 )
 _NUMBER_PATTERN = "|".join(sorted(NUMBER_WORDS.split(), key=lambda u: (-len(u), u)))
+#: Those that another number word may follow within one number.
+_LEADING = "|".join(w for w in NUMBER_WORDS.split() if w.endswith(("ty", "hundred", "thousand", "million", "billion")))
 _UNIT_PATTERN = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
 
 
@@ -42,21 +48,23 @@ def typed_tokens(text: Column) -> Column:
     each other; a number is written in digits or as words, see NUMBER_WORDS.
     Punctuation ends a word and is left out.
     """
+    # Each pattern first asks for a character that few places hold, and looks behind only there.
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{INNER}]", " ")
-    t = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", INNER)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME + "$0")
+    t = F.regexp_replace(t, r"[.,](?<=\p{N}.)(?=\p{N})", INNER)
+    t = F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}+(?![\p{L}\p{N}])", NAME + "$0")
     t = F.lower(F.regexp_replace(t, rf"({NAME}\p{{L}}+) (?={NAME})", f"$1{INNER}"))
-    number = rf"(?<![\p{{L}}\p{{N}}{INNER}{NAME}])(?:\p{{N}}[\p{{N}}{INNER}]*|(?:{_NUMBER_PATTERN})(?![\p{{L}}\p{{N}}]))"
-    t = F.regexp_replace(t, number, NUMBER + "$0")
-    t = F.regexp_replace(t, rf"({NUMBER}\p{{L}}+)[ -](?={NUMBER}\p{{L}})", f"$1{INNER}")
-    of_unit = rf"({NUMBER}[\p{{N}}{INNER}]+[ -]?|{NUMBER}[\p{{L}}{INNER}{NUMBER}]+[ -])({_UNIT_PATTERN})(?![\p{{L}}\p{{N}}])"
-    t = F.regexp_replace(t, of_unit, f"$1 {UNIT}$2")
-    return F.array_remove(F.split(t, _GAP), "")
+    t = F.regexp_replace(t, rf"[ -](?<=(?<!\p{{L}})(?:{_LEADING})[ -])(?=(?:{_NUMBER_PATTERN})(?!\p{{L}}))", INNER)
+    t = F.regexp_replace(t, rf"\p{{N}}(?<![\p{{L}}\p{{N}}{INNER}{NAME}].)[\p{{N}}{INNER}]*", NUMBER + "$0")
+    t = F.regexp_replace(t, rf"({NUMBER}[\p{{N}}{INNER}]+)[ -]?({_UNIT_PATTERN})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    words = F.array_remove(F.split(t, _GAP), "")
+    plain = lambda w: ~F.startswith(w, F.lit(NAME)) & ~F.startswith(w, F.lit(NUMBER))
+    in_words = lambda w: w.isin(NUMBER_WORDS.split()) | (F.contains(w, F.lit(INNER)) & plain(w))
+    return F.transform(words, lambda w: F.when(in_words(w), F.concat(F.lit(NUMBER), w)).otherwise(w))
 
 
 def _is_slot(token: Column) -> Column:
-    first = F.substr(token, F.lit(1), F.lit(1))
-    return (first >= NUMBER) & (first <= NAME)
+    """Whether a word begins with one of the marks, which follow each other."""
+    return (token >= NUMBER) & (token < INNER)
 
 
 def _template(token: Column) -> Column:
@@ -97,19 +105,17 @@ def _windows(rows: DataFrame, lengths: list[int], window: int) -> DataFrame:
         # Of overlapping halves the sum is no less than the count, so that no heavy window is passed over.
         own = lambda i: F.slice("tokens", i + 1, F.lit(size))
         heavy = lambda i: (2 * (size - F.get("slots", i)) < min(size, window)) & _heavy(own(i), F.lit(size), window)
-        whole = F.transform(whole, lambda h, i: F.when(heavy(i), F.xxhash64(own(i), F.lit(size))).otherwise(h))
-        kept, w = [c for c in rows.columns if c != "tokens"], F.lit(size)
-        if size == lengths[0]:  # a text below LEAST_WORDS is one window
-            n = F.size("tokens")
-            short = (n > 0) & (n < LEAST_WORDS)
-            w, whole = F.when(short, n).otherwise(w), F.when(short, F.array(F.xxhash64("tokens", n))).otherwise(whole)
-        return made.select(*kept, w.alias("w"), F.posexplode(whole).alias("at", "h"))
+        some = 2 * (size - F.array_max("slots")) < min(size, window)  # most texts have none, and skip the search
+        whole = F.when(some, F.transform(whole, lambda h, i: F.when(heavy(i), F.xxhash64(own(i), F.lit(size))).otherwise(h))).otherwise(whole)
+        kept = [c for c in rows.columns if c != "tokens"]
+        return made.select(*kept, F.lit(size).alias("w"), F.posexplode(whole).alias("at", "h"))
 
-    parts = [of(size) for size in lengths]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [of(size) for size in lengths if size >= LEAST_WORDS]
+    if min(lengths) < LEAST_WORDS:  # texts below that are one window
+        n = F.size("tokens")
+        kept = [c for c in rows.columns if c != "tokens"]
+        parts.append(rows.where((n > 0) & (n < LEAST_WORDS)).select(*kept, n.alias("w"), F.lit(0).alias("at"), F.xxhash64("tokens", n).alias("h")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW) -> DataFrame:
@@ -154,9 +160,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, win
     only_heavy = F.forall(starts, lambda i: _heavy(F.slice("tokens", i, F.least(n, F.lit(window))), n, window))
     longer = F.when((n > window) & only_heavy, F.array(F.least(n, F.lit(2 * window)))).otherwise(F.array().cast("array<int>"))
     items = items.withColumn("sizes", F.concat(F.array(F.least(n, F.lit(window))), longer))
-    longs = [r[0] for r in items.select(F.explode("sizes").alias("n")).where(F.col("n") >= LEAST_WORDS).distinct().orderBy("n").collect()]
-    if not longs:
-        longs = [window]
+    longs = [r[0] for r in items.select(F.explode("sizes").alias("n")).distinct().orderBy("n").collect()]
+    longs = longs or [window]
     words = F.slice("tokens", F.col("at") + 1, F.col("w"))
     items = items.withColumn("form", F.xxhash64("tokens"))
     keyed = _windows(items.select("item_id", "version", "form", "tokens"), longs, window).join(items, ["item_id", "version", "form"])
