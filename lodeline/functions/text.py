@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 #: Words that tokenize() leaves out.
 STOPWORDS = (
-    "a an and are as at be by for from how in is it of on or the to what when where which who why do does did must have has with "
-    "cua của la là gi gì nhung những cac các cho trong theo nhu như được và với khi nào bao nhiêu lâu người học"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on",
+    "or", "the", "to", "what", "when", "where", "which", "who", "why", "do", "does", "did", "must", "have", "has", "with",
+    "cua", "của", "la", "là", "gi", "gì", "nhung", "những", "cac", "các", "cho", "trong", "theo", "nhu", "như", "được",
+    "và", "với", "khi", "nào", "bao", "nhiêu", "lâu", "người", "học",
+)
 
 WORD = r"[\p{L}\p{N}]+"
 

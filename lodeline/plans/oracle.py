@@ -188,7 +188,9 @@ def _routed() -> str:
 
     starts = lambda *ts: "(" + " OR ".join(f"starts_with(q, '{t}')" for t in ts) + ")"
     rows = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in QUESTIONS)
-    return f"""asked AS (SELECT query_id, lower(trim(question)) AS q, question FROM (VALUES {rows}) AS v(query_id, question)),
+    return f"""asked AS (
+  SELECT query_id, lower(trim(coalesce(question, ''))) AS q, question FROM (
+    SELECT 'q' || n AS query_id, question FROM (VALUES {rows}) AS v(n, question) UNION ALL SELECT 'b' || item_id, text FROM benchmark UNION ALL SELECT concat_ws('-', 'c', conv_id, turn), text FROM conversations)),
 routed AS (SELECT *, CASE WHEN {_any(R.COMPARISON)} THEN 'comparison' WHEN {starts("how many ", "how much ", "how long ", "where ")} THEN 'factoid'
   WHEN {starts("how ")} OR {_any(R.PROCEDURAL)} THEN 'procedural' WHEN {starts("why ")} THEN 'definition'
   WHEN {starts("what does ", "what did ", "what two ", "what three ", "what new ")} THEN 'factoid' WHEN {starts("what are ", "what benefit ")} THEN 'definition'
@@ -197,6 +199,24 @@ routed AS (SELECT *, CASE WHEN {_any(R.COMPARISON)} THEN 'comparison' WHEN {star
   WHEN {_any(R.MULTI_HOP)} AND len(regexp_extract_all(q, '\\S+')) > 10 THEN 'multi_hop' WHEN len(regexp_extract_all(q, '\\S+')) <= 6 THEN 'factoid' ELSE 'ambiguous' END AS query_type FROM asked)"""
 
 
+def _route() -> str:
+    from lodeline.operators import routing as R
+
+    hints = "".join(
+        f" || CASE WHEN {_any(terms)} THEN ['{kind}'] ELSE [] END"
+        for terms, kind in (
+            (("quy định", "điều kiện", "bắt buộc", "policy", "must"), "policy"), (("quy trình", "bước", "thủ tục", "how", "steps"), "procedural"), (("khác", "so sánh", "compare", "difference"), "comparison"),
+        )
+    )
+    rows = ", ".join(f"('{k}', {list(v)})" for k, v in R.FALLBACKS.items())
+    return f"""WITH {_routed()},
+fallbacks AS (SELECT * FROM (VALUES {rows}) AS v(query_type, further)),
+listed AS (SELECT query_id, query_type, [query_type]{hints} || coalesce(further, (SELECT further FROM fallbacks WHERE query_type = 'ambiguous')) AS l FROM routed LEFT JOIN fallbacks USING (query_type)),
+places AS (SELECT query_id, query_type, unnest(l) AS kind, generate_subscripts(l, 1) AS place FROM listed),
+firsts AS (SELECT query_id, query_type, kind, min(place) AS place FROM places GROUP BY ALL)
+SELECT query_id, query_type, string_agg(kind, ',' ORDER BY place) AS candidates FROM firsts GROUP BY query_id, query_type"""
+
+
 def _plan() -> str:
     from lodeline.operators import routing as R
 
@@ -204,20 +224,90 @@ def _plan() -> str:
     return f"""WITH {_routed()},
 plans AS (SELECT * FROM (VALUES {rows}) AS v(kind, strategy, top_k, candidate_k, bm25_weight, dense_weight, rerank_top_n, combination, context_window)),
 keyed AS (SELECT *, CASE WHEN query_type IN ('factoid', 'definition') AND {_any(R.SCIENTIFIC)} THEN query_type || '/scientific' ELSE query_type END AS kind, regexp_matches(q, '[à-ỹ]') AS accented FROM routed)
-SELECT CAST(query_id AS BIGINT) AS query_id, query_type, strategy, CAST(top_k AS INTEGER) AS top_k, CAST(candidate_k AS INTEGER) AS candidate_k, CAST(CASE WHEN accented THEN greatest(bm25_weight, 0.72) ELSE bm25_weight END AS DOUBLE) AS bm25_weight,
+SELECT query_id, query_type, strategy, CAST(top_k AS INTEGER) AS top_k, CAST(candidate_k AS INTEGER) AS candidate_k, CAST(CASE WHEN accented THEN greatest(bm25_weight, 0.72) ELSE bm25_weight END AS DOUBLE) AS bm25_weight,
   CAST(CASE WHEN accented THEN least(dense_weight, 0.28) ELSE dense_weight END AS DOUBLE) AS dense_weight, CAST(rerank_top_n AS INTEGER) AS rerank_top_n,
   CASE WHEN accented AND query_type = 'comparison' THEN 'weighted_sum' ELSE combination END AS combination, CAST(context_window AS INTEGER) AS context_window,
   CASE WHEN query_type = 'procedural' AND {_any(R.STEP_WORDS)} THEN 'list_item,list,paragraph' ELSE '' END AS block_types
 FROM keyed JOIN plans USING (kind)"""
 
 
-DETECTION = """SELECT * FROM (VALUES ('table', 2, 1, 1, 0.666667, 0.666667, 0.666667), ('figure', 0, 1, 1, 0.0, 0.0, 0.0), (NULL, 2, 2, 2, 0.5, 0.5, 0.5)) AS v(block_type, tp, fp, fn, precision, recall, f1)"""
-REGIONS = """SELECT * FROM (VALUES ('p', 0, 'table', 0.9), ('p', 2, 'table', 0.7), ('p', 3, 'figure', 0.6)) AS v(page, region, block_type, score)"""
-
+_BOXES = """boxes AS (
+  SELECT CAST(doc_id // 16 AS VARCHAR) AS entry_id, CAST(doc_id % 16 AS INTEGER) AS region, coalesce(lang, '-') AS block_type, coalesce(n_chars, 0) AS chars, 40.0::DOUBLE + coalesce(n_chars, 0) % 60 AS height
+  FROM documents)"""
+#: Boxes of a region overlap by their height less the shift between them; no other region is near, and the nearest prediction of the class is taken.
+DETECTION = f"""WITH {_BOXES},
+found AS (
+  SELECT entry_id, region, block_type, 2 * region AS pred, (chars % 29)::DOUBLE AS down, height FROM boxes WHERE chars % 7 > 0
+  UNION ALL SELECT entry_id, region, CASE WHEN chars % 5 = 0 THEN 'other' ELSE block_type END, 2 * region + 1, (chars % 17)::DOUBLE, height FROM boxes WHERE chars % 3 = 0),
+near AS (SELECT block_type, entry_id, region FROM found f JOIN boxes b USING (entry_id, region, block_type) WHERE (f.height - down) / (f.height + down) >= 0.5 GROUP BY ALL),
+sides AS (
+  SELECT block_type, 1 AS t, 0 AS p, 0 AS m FROM boxes UNION ALL SELECT block_type, 0, 1, 0 FROM found UNION ALL SELECT block_type, 0, 0, 1 FROM near),
+c AS (SELECT block_type, CAST(sum(m) AS BIGINT) AS tp, CAST(sum(p) - sum(m) AS BIGINT) AS fp, CAST(sum(t) - sum(m) AS BIGINT) AS fn FROM sides GROUP BY ROLLUP (block_type))
+SELECT block_type, tp, fp, fn, round(coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0.0), 6) AS precision, round(coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0.0), 6) AS recall,
+       round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0.0), 6) AS f1 FROM c"""
+#: Of three boxes the first stays, the second if it is far from it, the third if it is far from those that stay.
+REGIONS = f"""WITH {_BOXES},
+shifts AS (SELECT *, (chars % 13)::DOUBLE AS a, (chars % 11)::DOUBLE AS b FROM boxes),
+tests AS (SELECT *, (height - a) / (height + a) < 0.75 AS second, (height - b) / (height + b) < 0.75 AS apart, (height - a - b) / (height + a + b) < 0.75 AS far FROM shifts)
+SELECT entry_id AS page, 3 * region AS region, block_type, 0.9::DOUBLE AS score FROM tests
+UNION ALL SELECT entry_id, 3 * region + 1, block_type, 0.8 FROM tests WHERE second
+UNION ALL SELECT entry_id, 3 * region + 2, block_type, 0.7 FROM tests WHERE far AND (apart OR NOT second)"""
+
+STABILITY = """WITH docs AS (SELECT doc_id % 5 AS run, n_chars, coalesce(lang, '-') AS lang, coalesce(source, '-') AS source FROM documents),
+rates AS (
+  SELECT run, avg(CASE WHEN n_chars >= 20 THEN 1.0 ELSE 0.0 END) AS s, avg(CASE WHEN n_chars >= 400 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN n_chars >= 1500 THEN 1.0 ELSE 0.0 END) AS b, avg(n_chars) / 1000 AS l
+  FROM docs GROUP BY run),
+counts AS (SELECT run, 'b' AS side, lang AS name, count(*) AS n FROM docs GROUP BY run, lang UNION ALL SELECT run, 'r', source, count(*) FROM docs GROUP BY run, source),
+best AS (SELECT DISTINCT side, name FROM (SELECT *, row_number() OVER (PARTITION BY run, side ORDER BY n DESC, name) AS place FROM counts) WHERE place = 1)
+SELECT count(*) AS runs, round(min(s), 6) AS success_rate_min, round(max(s), 6) AS success_rate_max, round(min(a), 6) AS iou50_micro_f1_min, round(max(a), 6) AS iou50_micro_f1_max, round(min(b), 6) AS iou75_micro_f1_min,
+  round(max(b), 6) AS iou75_micro_f1_max, round(min(l), 6) AS latency_p95_sec_min, round(max(l), 6) AS latency_p95_sec_max,
+  (SELECT string_agg(name, ',' ORDER BY name) FROM best WHERE side = 'b') AS dominant_backends, (SELECT string_agg(name, ',' ORDER BY name) FROM best WHERE side = 'r') AS dominant_routes,
+  (SELECT count(*) = 1 FROM best WHERE side = 'b') AS backend_consistent, (SELECT count(*) = 1 FROM best WHERE side = 'r') AS route_consistent FROM rates"""
+
+MARKDOWN_BLOCKS = r"""
+WITH parts AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\. |\n')) AS x, generate_subscripts(string_split_regex(coalesce(text, ''), '\. |\n'), 1) - 1 AS i FROM documents),
+shaped AS (
+  SELECT doc_id, string_agg(CASE WHEN i % 13 = 0 THEN '## ' || x WHEN i % 13 = 3 THEN '  ' WHEN i % 13 = 4 THEN '- ' || x WHEN i % 13 = 6 THEN '| ' || x || ' | b |' WHEN i % 13 = 7 THEN '|---|:-:|'
+    WHEN i % 13 = 8 OR i % 26 = 9 THEN '# c | ' || x WHEN i % 13 = 11 THEN x || ' | no rule' ELSE x END, chr(10) ORDER BY i) AS markdown FROM parts GROUP BY doc_id),
+raws AS (SELECT doc_id, unnest(string_split(markdown, chr(10))) AS raw, generate_subscripts(string_split(markdown, chr(10)), 1) AS line FROM shaped),
+lines AS (SELECT doc_id, line, regexp_replace(raw, '\s+$', '') AS raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS s FROM raws),
+tested AS (
+  SELECT *, contains(s, '|') AS bar, regexp_matches(s, '^#{1,6}\s+') AS heading, regexp_matches(s, '^[-*+]\s+') AS item,
+    lead(s) OVER w AS nxt, sum(CASE WHEN contains(s, '|') THEN 0 ELSE 1 END) OVER w AS run FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+starts AS (
+  SELECT doc_id, run, min(line) AS first FROM tested
+  WHERE bar AND NOT heading AND NOT item AND contains(nxt, '|') AND contains(nxt, '-') AND replace(replace(replace(replace(nxt, '|', ''), ':', ''), '-', ''), ' ', '') = '' GROUP BY ALL),
+kinds AS (
+  SELECT t.*, CASE WHEN bar AND line >= first THEN 'table' || run WHEN s = '' THEN 'blank' WHEN heading THEN 'heading' WHEN item THEN 'list_item' ELSE 'paragraph' END AS kind
+  FROM tested t LEFT JOIN starts USING (doc_id, run)),
+blocks AS (
+  SELECT *, sum(CASE WHEN kind IN ('blank', 'heading', 'list_item') OR kind IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block
+  FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM kinds)),
+joined AS (SELECT doc_id, block, regexp_replace(kind, '[0-9]+$', '') AS block_type, regexp_replace(string_agg(raw, chr(10) ORDER BY line), '^\s+|\s+$', '', 'g') AS whole FROM blocks WHERE kind <> 'blank' GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS reading_order, block_type, CASE WHEN block_type = 'heading' THEN CAST(length(regexp_extract(whole, '^#+')) AS INTEGER) END AS level,
+  md5(CASE block_type WHEN 'heading' THEN regexp_replace(whole, '^#{1,6}\s+', '') WHEN 'list_item' THEN regexp_replace(whole, '^[-*+]\s+', '') ELSE whole END) AS text_md5 FROM joined"""
+
+NORMAL_BLOCKS = """
+SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN 'paragraph' ELSE ['heading', 'heading', 'list_item', 'table', 'caption', 'figure', 'metadata', 'metadata', 'figure', 'paragraph', 'paragraph'][CAST(doc_id % 11 AS INTEGER) + 1] END AS block_type,
+  md5(CASE WHEN doc_id % 2 = 0 AND lang IS NOT NULL THEN lang ELSE text END) AS markdown_md5, CASE WHEN doc_id % 3 = 0 THEN 7 ELSE doc_id END AS reading_order FROM documents"""
+
+ROUTES = r"""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'table' ELSE CASE WHEN doc_id % 4 > 1 AND regexp_matches(coalesce(text, ''), '\S') THEN 'text' WHEN doc_id % 6 = 1 THEN 'placeholder' ELSE 'ocr' END END AS route FROM documents"""
+
+EXTRACTORS = r"""
+WITH docs AS (SELECT doc_id, coalesce(n_chars, 0) AS size, coalesce(text, '') AS text, (coalesce(n_chars, 0) % 10) / 10 AS r, doc_id % 3 AS images, doc_id % 4 AS mode FROM documents),
+flags AS (
+  SELECT *, mode = 2 AND r >= 0.8 AND 1 - r < 0.25 AND images >= 1 AS skips, images >= 1 AND 1 - r < 0.25 AND r >= 0.5 AS prefers,
+    len(list_filter(string_split(text, '. '), lambda x: length(x) > 60)) AS longs FROM docs),
+layouts AS (SELECT *, CASE WHEN skips THEN 'model_routed,model_layout' ELSE 'model_routed,model_layout,layout' END AS l FROM flags),
+plans AS (
+  SELECT *, CASE WHEN mode = 2 AND prefers THEN l || ',ocr,text' WHEN mode = 2 THEN 'ocr,text,' || l WHEN mode = 1 OR (mode = 3 AND prefers) THEN l || ',text,ocr' ELSE 'text,' || l || ',ocr' END AS plan FROM layouts),
+steps AS (SELECT *, unnest(string_split(plan, ',')) AS extractor, generate_subscripts(string_split(plan, ','), 1) - 1 AS step FROM plans),
+tests AS (
+  SELECT *, CASE extractor WHEN 'text' THEN length(text) >= 50 WHEN 'ocr' THEN regexp_matches(text, '\S')
+    ELSE longs > 1 AND (size % 3 = 0 OR longs >= 5) AND (extractor = 'layout' OR size % 4 > 0) AND (extractor <> 'model_routed' OR size % 5 > 0) END AS valid FROM steps)
+SELECT doc_id, plan, arg_min(extractor, step) FILTER (WHERE valid) AS extractor, CAST(coalesce(min(step) FILTER (WHERE valid), count(*)) AS INTEGER) AS tried FROM tests GROUP BY doc_id, plan"""
 
-STABILITY = """SELECT CAST(3 AS BIGINT) AS runs, 0.998::DOUBLE AS success_rate_min, 1.0::DOUBLE AS success_rate_max, 0.965::DOUBLE AS iou50_micro_f1_min, 1.0::DOUBLE AS iou50_micro_f1_max,
-  0.818::DOUBLE AS iou75_micro_f1_min, 0.91::DOUBLE AS iou75_micro_f1_max, 0.757::DOUBLE AS latency_p95_sec_min, 2.5::DOUBLE AS latency_p95_sec_max,
-  'layout' AS dominant_backends, 'table,text' AS dominant_routes, true AS backend_consistent, false AS route_consistent"""
 OCR_TABLES = r"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS n FROM cut),
@@ -250,5 +340,6 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": BM25, "bm25_filtered": BM25_FILTERED, "dense_topk": DENSE, "fuse_weighted": FUSE_WEIGHTED, "fuse_rrf": FUSE_RRF, "context_expand": CONTEXT,
         "retrieval_eval": EVAL, "repeated_lines": REPEATED_LINES, "remove_repeated": REMOVE_REPEATED, "classify_lines": CLASSIFY, "noise_filter": NOISE,
         "markdown_render": MARKDOWN, "html_blocks": HTML, "token_f1_pairs": TOKEN_F1, "size_percentiles": PERCENTILES, "probe_modes": PROBE, "confusion_matrix": CONFUSION,
-        "class_f1": CLASS_F1, "feature_stats": FEATURES, "plan_questions": _plan(), "detection_f1": DETECTION, "region_dedup": REGIONS, "run_stability": STABILITY, "ocr_tables": OCR_TABLES,
+        "class_f1": CLASS_F1, "feature_stats": FEATURES, "plan_questions": _plan(), "route_questions": _route(), "detection_f1": DETECTION, "region_dedup": REGIONS, "run_stability": STABILITY, "ocr_tables": OCR_TABLES,
+        "markdown_blocks": MARKDOWN_BLOCKS, "normal_blocks": NORMAL_BLOCKS, "region_routes": ROUTES, "extractor_choice": EXTRACTORS,
     }

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
-from lodeline.operators import ingest, metrics, qa, retrieval, routing, scans
+from lodeline.operators import extraction, ingest, metrics, qa, retrieval, routing, scans
 from lodeline.sources.staging import staged
 
 QUESTIONS = (
@@ -173,18 +173,21 @@ def probe_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_count", "total_chars", "total_blocks", F.round("text_layer_ratio", 6).alias("text_layer_ratio"), F.round("likely_scanned_ratio", 6).alias("likely_scanned_ratio"), F.round("avg_text_quality", 6).alias("avg_text_quality"), "mode")
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    asked = spark.createDataFrame(list(QUESTIONS), "query_id long, question string")
-    return asked.withColumn("query_type", routing.query_type(F.col("question")))
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few questions by hand, all benchmark items and all turns of conversations."""
+    asked = spark.createDataFrame(list(QUESTIONS), "n long, question string").select(F.concat(F.lit("q"), "n").alias("query_id"), "question")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")), "text")
+    return asked.union(items).union(turns).withColumn("query_type", routing.query_type(F.col("question")))
 
 
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = _questions(spark).withColumn("candidates", F.array_join(routing.candidate_types(F.col("query_type"), F.col("question")), ","))
+    routed = _questions(spark, sf_dir).withColumn("candidates", F.array_join(routing.candidate_types(F.col("query_type"), F.col("question")), ","))
     return routed.select("query_id", "query_type", "candidates")
 
 
 def plan_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = routing.with_plan(_questions(spark)).withColumn("block_types", F.array_join("block_types", ","))
+    planned = routing.with_plan(_questions(spark, sf_dir)).withColumn("block_types", F.array_join("block_types", ","))
     return planned.select("query_id", "query_type", "strategy", "top_k", "candidate_k", "bm25_weight", "dense_weight", "rerank_top_n", "combination", "context_window", "block_types")
 
 
@@ -215,7 +218,7 @@ def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answer rates over all questions, by type and by language of the best hit, from one pass."""
+    """Answer rates over all questions and by type, from one pass."""
     assessed, hits = _assessed(spark, sf_dir)
     answered = qa.answers(assessed, hits)
     best = hits.where("rank = 1").select("query_id", F.col("text").alias("hit_text"), F.col("source_name").alias("source"))
@@ -254,22 +257,40 @@ def size_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p95")))
 
 
-_BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each document, sixteen to a page, their heights by the texts' lengths, far from each other."""
+    n, lang = F.col("doc_id"), F.coalesce("lang", F.lit("-"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("chars"), lang.alias("block_type"))
+    return docs.select("block_type", "chars", F.floor(n / 16).cast("string").alias("entry_id"), (n % 16).cast("int").alias("region"), ((n % 16) * 200.0).alias("y0"), (40.0 + F.col("chars") % 60).alias("height"))
+
+
+def _at(down: Column | float, height: Column) -> Column:
+    top = F.col("y0") + down
+    return F.struct(F.lit(10.0).alias("x0"), top.alias("y0"), F.lit(110.0).alias("x1"), (top + height).alias("y1"))
 
 
 def detection_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted against true regions of two pages, at an overlap of one half."""
-    kind = f"entry_id string, region int, block_type string, bbox {_BOX}"
-    truth = [("a", 0, "table", (0.0, 0.0, 100.0, 50.0)), ("a", 1, "figure", (0.0, 60.0, 100.0, 120.0)), ("a", 2, "table", (0.0, 200.0, 100.0, 250.0)), ("b", 0, "table", (10.0, 10.0, 60.0, 60.0))]
-    found = [("a", 0, "table", (0.0, 5.0, 100.0, 50.0)), ("a", 1, "table", (0.0, 0.0, 100.0, 40.0)), ("a", 2, "figure", (0.0, 300.0, 90.0, 320.0)), ("b", 0, "table", (12.0, 12.0, 60.0, 60.0))]
-    counts = metrics.detection_counts(spark.createDataFrame(truth, kind), spark.createDataFrame(found, kind), 0.5)
+    """Two predictions for each region, shifted by its text's length, some lost and some of another class, at an overlap of one half."""
+    boxes = _boxes(spark, sf_dir)
+    truth = boxes.select("entry_id", "region", "block_type", _at(0.0, F.col("height")).alias("bbox"))
+    shift = lambda k: (F.col("chars") % k).cast("double")
+    first = boxes.where("chars % 7 > 0").select("entry_id", (2 * F.col("region")).alias("region"), "block_type", _at(shift(29), F.col("height")).alias("bbox"))
+    kind = F.when(F.col("chars") % 5 == 0, "other").otherwise(F.col("block_type"))
+    second = boxes.where("chars % 3 = 0").select("entry_id", (2 * F.col("region") + 1).alias("region"), kind.alias("block_type"), _at(shift(17), F.col("height")).alias("bbox"))
+    counts = metrics.detection_counts(truth, first.unionByName(second), 0.5)
     return counts.select("block_type", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def region_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("p", 0, "table", 0.9, (0.0, 0.0, 100.0, 50.0)), ("p", 1, "table", 0.8, (0.0, 2.0, 100.0, 50.0)), ("p", 2, "table", 0.7, (0.0, 100.0, 100.0, 150.0)), ("p", 3, "figure", 0.6, (0.0, 0.0, 100.0, 50.0))]
-    kept = metrics.without_overlaps(spark.createDataFrame(rows, f"page string, region int, block_type string, score double, bbox {_BOX}"))
-    return kept.select("page", "region", "block_type", "score")
+    """Three boxes a region, the better ones first, each shifted further down."""
+    boxes = _boxes(spark, sf_dir)
+    down = lambda k: F.col("chars") % 13 if k == 1 else F.col("chars") % 13 + F.col("chars") % 11
+    parts = [
+        boxes.select(F.col("entry_id").alias("page"), (3 * F.col("region") + k).alias("region"), "block_type", F.lit(0.9 - 0.1 * k).alias("score"), _at(down(k).cast("double") if k else 0.0, F.col("height")).alias("bbox"))
+        for k in range(3)
+    ]
+    kept = metrics.without_overlaps(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return kept.select("page", "region", "block_type", F.round("score", 6).alias("score"))
 
 
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,11 +300,67 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of metrics over three runs, with the dominant backend and route."""
-    rows = [(25, 1.0, 1.0, 0.818, 0.844, {"layout": 25}, {"table": 20, "text": 5}), (100, 1.0, 0.988, 0.87, 0.757, {"layout": 99, "ocr": 1}, {"table": 90, "text": 10}), (500, 0.998, 0.965, 0.91, 2.5, {"layout": 500}, {"text": 300, "table": 200})]
-    runs = spark.createDataFrame(rows, "run int, success_rate double, iou50_micro_f1 double, iou75_micro_f1 double, latency_p95_sec double, backend_counts map<string,int>, route_counts map<string,int>")
-    found = metrics.stability(runs)
-    return found.select(*(F.array_join(c, ",").alias(c) if c.startswith("dominant") else F.col(c) for c in found.columns))
+    """Ranges of metrics over five runs, into which the documents fall by id, with the dominant language and source."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("run"), "n_chars", F.coalesce("lang", F.lit("-")).alias("lang"), F.coalesce("source", F.lit("-")).alias("source"))
+    of = lambda c, name: F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(name)
+    counted = lambda c, name: docs.groupBy("run", c).agg(F.count("*").cast("int").alias("n")).groupBy("run").agg(of(c, name))
+    share = lambda least: F.avg(F.when(F.col("n_chars") >= least, 1.0).otherwise(0.0))
+    rates = docs.groupBy("run").agg(share(20).alias("success_rate"), share(400).alias("iou50_micro_f1"), share(1500).alias("iou75_micro_f1"), (F.avg("n_chars") / 1000).alias("latency_p95_sec"))
+    found = metrics.stability(rates.join(counted("lang", "backend_counts"), "run").join(counted("source", "route_counts"), "run"))
+    plain = lambda c: F.array_join(c, ",") if c.startswith("dominant") else F.round(c, 6) if c.endswith(("_min", "_max")) else F.col(c)
+    return found.select(*(plain(c).alias(c) for c in found.columns))
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as markdown: their sentences become headings, items, tables, paragraphs and blank lines in turn."""
+    parts = F.split(F.coalesce("text", F.lit("")), r"\. |\n")
+    shape = lambda x, i: (
+        F.when(i % 13 == 0, F.concat(F.lit("## "), x)).when(i % 13 == 3, F.lit("  ")).when(i % 13 == 4, F.concat(F.lit("- "), x)).when(i % 13 == 6, F.concat(F.lit("| "), x, F.lit(" | b |")))
+        .when(i % 13 == 7, "|---|:-:|").when((i % 13 == 8) | (i % 26 == 9), F.concat(F.lit("# c | "), x)).when(i % 13 == 11, F.concat(x, F.lit(" | no rule"))).otherwise(x)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(parts, shape), "\n").alias("markdown"))
+
+
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.markdown_blocks(_markdown(spark, sf_dir))
+    return found.select("doc_id", "reading_order", "block_type", "level", F.md5("text").alias("text_md5"))
+
+
+def normal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block types named by words of the documents."""
+    n = F.col("doc_id") % 11
+    names = ("Page-Title", "sub_HEADER", "List", "table", "Caption-2", "Image", "metadata", "meta-x", "figure", "text", "")
+    given = F.element_at(F.array(*map(F.lit, names)), n.cast("int") + 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.monotonically_increasing_id().alias("at"), F.when(F.col("doc_id") % 23 > 0, given).alias("block_type"), "text", "lang")
+    shaped = docs.select("doc_id", F.col("doc_id").alias("position"), "block_type", "text", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("markdown"), F.when(F.col("doc_id") % 3 == 0, F.lit(7).cast("long")).alias("reading_order"))
+    return extraction.normal_blocks(shaped).select("doc_id", "block_type", F.md5("markdown").alias("markdown_md5"), "reading_order")
+
+
+def region_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of all kinds, with the text of a document or none."""
+    kinds = F.element_at(F.array(*map(F.lit, ("Table", " figure ", "caption", "heading", "paragraph", "x"))), (F.col("doc_id") % 6).cast("int") + 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", kinds.alias("kind"), F.when(F.col("doc_id") % 4 > 1, F.col("text")).otherwise("  ").alias("text"))
+    return docs.select("doc_id", extraction.region_route(F.col("kind"), F.col("text")).alias("route"))
+
+
+def extractor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document a plan by its probe, results of three extractors, and the first valid one."""
+    n, size = F.col("doc_id"), F.col("size")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("size"), F.coalesce("text", F.lit("")).alias("text"))
+    mode = F.element_at(F.array(*map(F.lit, ("text", "layout", "ocr", "mixed"))), (n % 4).cast("int") + 1)
+    ratio = (size % 10) / 10
+    probed = docs.select("doc_id", mode.alias("mode"), ratio.alias("likely_scanned_ratio"), (1 - ratio).alias("text_layer_ratio"), (n % 3).cast("double").alias("avg_images_per_page"), ratio.alias("image_heavy_ratio"))
+    names = ("mode", "likely_scanned_ratio", "text_layer_ratio", "avg_images_per_page", "image_heavy_ratio")
+    plans = probed.select("doc_id", extraction.extractor_plan({c: F.col(c) for c in names}, model=True, routed=True).alias("plan"))
+    made = docs.select("doc_id", "text", "size", F.explode(F.array(*map(F.lit, ("text", "layout", "ocr", "model_routed", "model_layout")))).alias("extractor"))
+    layout = F.col("extractor").isin("layout", "model_routed", "model_layout")
+    parts = F.when(layout, F.filter(F.split("text", r"\. "), lambda x: F.char_length(x) > 60)).otherwise(F.array("text"))
+    blocks = made.select(
+        "doc_id", "extractor", F.posexplode(parts).alias("at", "text"), F.when(layout & (F.col("size") % 3 == 0), "heading").otherwise("paragraph").alias("block_type"),
+        (F.col("size") % 4 > 0).alias("has_bbox"), F.when(F.col("size") % 5 > 0, "text").alias("route"),
+    )
+    found = extraction.chosen_extractors(plans, extraction.valid_results(made.select("doc_id", "extractor"), blocks))
+    return found.join(plans, "doc_id").select("doc_id", F.array_join("plan", ",").alias("plan"), "extractor", "tried")
 
 
 def ocr_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,5 +380,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bm25_topk, bm25_filtered, dense_topk, fuse_weighted, fuse_rrf, context_expand, heuristic_rerank, retrieval_eval, repeated_lines, remove_repeated,
         classify_lines, noise_filter, markdown_render, ingest_chunks, html_blocks, probe_modes, route_questions, plan_questions, token_f1_pairs, evidence_scores,
         grounded_answers, qa_summary, confusion_matrix, class_f1, feature_stats, size_percentiles, detection_f1, region_dedup, quality_gates, run_stability, ocr_tables,
+        markdown_blocks, normal_blocks, region_routes, extractor_choice,
     )
     return {f.__name__: f for f in found}

@@ -305,3 +305,36 @@ def test_entry_imports_without_the_optional_parts():
     assert not [p for p in root.glob("lodeline/**/*.py") if "llm" not in p.parts and re.search(r"lodeline\.llm|from \.+llm", p.read_text())]
     code = "import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if 'llm' in n else f(n, *a); import __spark_entry__ as e; assert 'bm25_topk' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_markdown_and_extraction(spark):
+    from lodeline.operators import extraction as E
+
+    text = "# Title\npara one\nstill one\n\n- item\n| a | b |\n|---|---|\n| c | d |\n# x | y\nend\n  \n#no\n"
+    got = rows(E.markdown_blocks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, markdown string")).select("doc_id", "reading_order", "block_type", "level", "text"), "doc_id", "reading_order")
+    assert got == [
+        (1, 0, "heading", 1, "Title"), (1, 1, "paragraph", None, "para one\nstill one"), (1, 2, "list_item", None, "item"),
+        (1, 3, "table", None, "| a | b |\n|---|---|\n| c | d |\n# x | y"), (1, 4, "paragraph", None, "end"), (1, 5, "paragraph", None, "#no"),
+    ]
+    kinds = spark.createDataFrame([("Section-Header",), ("TABLE",), (None,), ("picture image",)], "k string")
+    assert [r[0] for r in kinds.select(E.normal_block_type(F.col("k"))).collect()] == ["heading", "table", "paragraph", "figure"]
+    pages = spark.createDataFrame([(1, "text"), (1, "ocr"), (1, "layout"), (2, "text")], "doc_id long, extractor string")
+    blocks = spark.createDataFrame([(1, "text", "paragraph", "short", False, None), (1, "ocr", "paragraph", "x", False, None), (1, "layout", "table", "t", True, None)], "doc_id long, extractor string, block_type string, text string, has_bbox boolean, route string")
+    valid = E.valid_results(pages, blocks)
+    assert rows(valid, "doc_id", "extractor") == [(1, "layout", False), (1, "ocr", True), (1, "text", False), (2, "text", False)]
+    plans = spark.createDataFrame([(1, ["text", "layout", "ocr"]), (2, ["text"])], "doc_id long, plan array<string>")
+    assert rows(E.chosen_extractors(plans, valid), "doc_id") == [(1, "ocr", 2), (2, None, 1)]
+
+
+def test_answer_evidence(spark):
+    case = "struct(cast(null as array<string>) as expected_chunk_ids, array('Leave') as expected_sections, array(9) as expected_pages, '' as match_text, 's' as source_name)"
+    hit = "struct('c' as chunk_id, '{}' as source_name, {} as page, '{}' as section, array('A') as heading_path, '' as snippet, 'text' as text)"
+    one = spark.range(1)
+    found = [one.select(metrics.evidence_match(F.expr(case), F.array(F.expr(hit.format(*h))))).first()[0] for h in (("s", 9, "x"), ("s", 1, "on leave"), ("t", 9, "leave"), ("s", 1, "x"))]
+    assert found == [True, True, False, False]
+    by_id = case.replace("cast(null as array<string>)", "array('c')")
+    assert one.select(metrics.evidence_match(F.expr(by_id), F.array(F.expr(hit.format("t", 1, "x"))))).first()[0]
+    m = one.select(metrics.answer_match(F.lit("ten days of leave"), F.lit(""), F.lit("ten days leave")).alias("m")).first()["m"]
+    assert m["matches"] and m["token_f1"] > 0.8 and not m["contains_expected"]
+    s = one.select(metrics.answer_status(F.lit("answer"), F.lit(False), F.lit(False), F.lit(True)).alias("s")).first()["s"]
+    assert (s["hallucinated"], s["end_to_end_success"]) == (True, False)
