@@ -50,10 +50,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     groups = simhash.near_groups(spark, docs)
     key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
-    first = groups.groupBy("component").agg(F.min(key).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    first = groups.groupBy("component").agg(F.min(key).alias("first")).select(F.xxhash64("first.doc_id", "first.text_hash").alias("number")).distinct()
     rows = _nested(docs).select("row", "doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("hash"))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("hash").eqNullSafe(F.col("first_hash")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64("row")))
+    # Both steps go by the number, so that the texts are shuffled once; rows that share it are told apart in the second.
+    kept = rows.withColumn("number", F.xxhash64("doc_id", "hash")).join(first, "number", "left_semi")
+    turn = F.row_number().over(Window.partitionBy("number", "doc_id", "hash").orderBy(F.xxhash64("row")))
     return kept.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
