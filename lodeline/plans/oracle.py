@@ -84,6 +84,28 @@ SELECT query_id, relevant, first_match_rank, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 E
        round(coalesce(1.0 / first_match_rank, 0.0), 6) AS mrr, round(coalesce(dcg, 0.0) / idcg, 6) AS ndcg
 FROM wanted JOIN ideal USING (query_id) LEFT JOIN found USING (query_id)"""
 
+_CASES = f"""{_TWO},
+names AS (SELECT doc_id AS chunk_idx, concat_ws(':', source, doc_id) AS chunk_id, source, text FROM documents),
+held AS (SELECT item_id AS query_id, chunk_id FROM benchmark b JOIN names d ON item_id % 2 = 0 AND contains(lower(d.text), lower(b.text))),
+sizes AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 1 + (SELECT count(DISTINCT chunk_id) FROM held h WHERE h.query_id = item_id) ELSE 1 END AS relevant FROM benchmark),
+tops AS (SELECT 'bm25' AS strategy, query_id, chunk_idx, rank, score FROM hits WHERE rank <= 10 UNION ALL SELECT 'overlap', query_id, chunk_idx, rank, score FROM others WHERE rank <= 10),
+judged AS (
+  SELECT t.*, n.chunk_id, CASE WHEN query_id % 2 = 0 THEN EXISTS (SELECT 1 FROM held h WHERE h.query_id = t.query_id AND h.chunk_id = n.chunk_id)
+    ELSE coalesce(trim(b.text) <> '' AND contains(lower(n.text), lower(trim(b.text))), false) AND (query_id % 4 <> 3 OR coalesce(n.source, '') = 'src3') END AS ok
+  FROM tops t JOIN names n USING (chunk_idx) JOIN benchmark b ON b.item_id = t.query_id),
+per AS (
+  SELECT strategy, query_id, min(rank) FILTER (WHERE ok) AS first_match_rank, sum(1 / log2(rank + 1)) FILTER (WHERE ok) AS dcg, count(DISTINCT chunk_id) FILTER (WHERE ok) AS found, count(*) AS n,
+    max(chunk_id) FILTER (WHERE rank = 1) AS top_id, max(score) FILTER (WHERE rank = 1) AS top_score FROM judged GROUP BY ALL),
+rows_ AS (
+  SELECT k.strategy, s.query_id, first_match_rank IS NOT NULL AS hit, CASE WHEN s.query_id % 2 = 0 THEN coalesce(found, 0) / CAST(relevant AS DOUBLE) WHEN first_match_rank IS NULL THEN 0.0 ELSE 1.0 END AS recall,
+    coalesce(1.0 / first_match_rank, 0.0) AS mrr, coalesce(dcg, 0.0) / (SELECT sum(1 / log2(r + 1)) FROM range(1, 11) AS g(r) WHERE r <= relevant) AS ndcg, first_match_rank, coalesce(n, 0) AS retrieval_count, top_id, top_score
+  FROM sizes s CROSS JOIN (VALUES ('bm25'), ('overlap')) AS k(strategy) LEFT JOIN per USING (strategy, query_id))"""
+CASE_ROWS = f"""{_CASES}
+SELECT strategy, query_id, hit, coalesce(first_match_rank, 0) AS first_match_rank, retrieval_count, top_id AS top_hit_chunk_id, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round(top_score, 6) AS top_hit_score FROM rows_"""
+STRATEGIES = f"""{_CASES}
+SELECT strategy, count(*) AS query_count, round(avg(hit::INT), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(retrieval_count), 6) AS retrieval_count
+FROM rows_ GROUP BY strategy"""
+
 _LINES = r"""
 raw_lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS reading_order FROM documents),
 lines AS (SELECT doc_id, source, reading_order, trim(regexp_replace(line, '\s+', ' ', 'g')) AS text FROM raw_lines WHERE trim(line) <> '')
@@ -342,4 +364,5 @@ def oracle_sql() -> dict[str, str]:
         "markdown_render": MARKDOWN, "html_blocks": HTML, "token_f1_pairs": TOKEN_F1, "size_percentiles": PERCENTILES, "probe_modes": PROBE, "confusion_matrix": CONFUSION,
         "class_f1": CLASS_F1, "feature_stats": FEATURES, "plan_questions": _plan(), "route_questions": _route(), "detection_f1": DETECTION, "region_dedup": REGIONS, "run_stability": STABILITY, "ocr_tables": OCR_TABLES,
         "markdown_blocks": MARKDOWN_BLOCKS, "normal_blocks": NORMAL_BLOCKS, "region_routes": ROUTES, "extractor_choice": EXTRACTORS,
+        "retrieval_cases": CASE_ROWS, "strategy_summary": STRATEGIES,
     }

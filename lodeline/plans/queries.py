@@ -121,6 +121,41 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("query_id", "relevant", "first_match_rank", "hit", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
 
 
+def _cases(spark: SparkSession, sf_dir: str, index: retrieval.SparseIndex) -> DataFrame:
+    """Benchmark items as cases: even ones by the ids of documents that hold them and one that there isn't, odd ones by text, some by source too."""
+    n, ids = F.col("item_id"), F.concat_ws(":", F.col("source"), F.col("doc_id"))
+    names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), ids.alias("chunk_id"))
+    gold = names.join(retrieval.small(_gold(spark, sf_dir, index)), "chunk_idx").groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("held"))
+    none = F.array().cast("array<string>")
+    items = table(spark, sf_dir, "benchmark").join(gold, F.col("item_id") == F.col("query_id"), "left").drop("query_id")
+    return items.select(
+        n.alias("query_id"), F.when(n % 2 == 0, F.coalesce("held", none)).otherwise(none).alias("expected_chunk_ids"), F.when(n % 2 == 0, "none").alias("expected_chunk_id"),
+        F.when(n % 4 == 3, "src3").alias("source_name"), F.lit(None).cast("string").alias("doc_id"), F.array().cast("array<int>").alias("expected_pages"),
+        F.lit(None).cast("string").alias("expected_section"), F.when(n % 2 == 1, F.col("text")).alias("match_text"),
+    )
+
+
+def _case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _two_rankings(spark, sf_dir)
+    both = [r.where("rank <= 10").select(F.lit(name).alias("strategy"), "query_id", "chunk_idx", "rank", "score") for name, r in (("bm25", a), ("overlap", b))]
+    hits = staged(spark, both[0].unionByName(both[1]), "strategy-hits")
+    texts = _corpus(spark, sf_dir).select("chunk_idx", "chunk_id", "doc_id", "source_name", "section", "text", F.lit(None).cast("int").alias("page"))
+    named = texts.join(retrieval.small(hits), "chunk_idx")
+    return metrics.case_metrics(_cases(spark, sf_dir, _index(spark, _corpus(spark, sf_dir))), named, 10, ("bm25", "overlap"))
+
+
+def retrieval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each case by two strategies; a first rank of 0 where nothing matches."""
+    rows = _case_rows(spark, sf_dir)
+    plain = ("strategy", "query_id", "hit", F.coalesce("first_match_rank", F.lit(0)).alias("first_match_rank"), "retrieval_count", "top_hit_chunk_id")
+    return rows.select(*plain, *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg", "top_hit_score")))
+
+
+def strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.strategy_summary(_case_rows(spark, sf_dir))
+    return found.select("strategy", "query_count", *(F.round(c, 6).alias(c) for c in ("hit", "recall", "mrr", "ndcg", "retrieval_count")))
+
+
 def _source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as documents and documents as their pages: a block for each line."""
     lines = ingest.line_blocks(table(spark, sf_dir, "documents"))
@@ -380,6 +415,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bm25_topk, bm25_filtered, dense_topk, fuse_weighted, fuse_rrf, context_expand, heuristic_rerank, retrieval_eval, repeated_lines, remove_repeated,
         classify_lines, noise_filter, markdown_render, ingest_chunks, html_blocks, probe_modes, route_questions, plan_questions, token_f1_pairs, evidence_scores,
         grounded_answers, qa_summary, confusion_matrix, class_f1, feature_stats, size_percentiles, detection_f1, region_dedup, quality_gates, run_stability, ocr_tables,
-        markdown_blocks, normal_blocks, region_routes, extractor_choice,
+        markdown_blocks, normal_blocks, region_routes, extractor_choice, retrieval_cases, strategy_summary,
     )
     return {f.__name__: f for f in found}

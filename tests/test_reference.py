@@ -338,3 +338,29 @@ def test_answer_evidence(spark):
     assert m["matches"] and m["token_f1"] > 0.8 and not m["contains_expected"]
     s = one.select(metrics.answer_status(F.lit("answer"), F.lit(False), F.lit(False), F.lit(True)).alias("s")).first()["s"]
     assert (s["hallucinated"], s["end_to_end_success"]) == (True, False)
+
+
+def test_case_metrics(spark):
+    case = "query_id int, expected_chunk_ids array<string>, expected_chunk_id string, source_name string, doc_id string, expected_pages array<int>, expected_section string, match_text string"
+    cases = spark.createDataFrame([(1, ["a", "b"], "a", None, None, None, None, None), (2, None, None, "s", None, None, None, " Word"), (3, None, None, None, None, [7], None, None), (4, None, None, None, None, None, None, None)], case)
+    hit = "strategy string, query_id int, rank int, score double, chunk_id string, source_name string, doc_id string, page int, section string, text string"
+    found = [
+        ("x", 1, 1, 1.0, "c", None, None, None, None, None), ("x", 1, 2, 0.5, "b", None, None, None, None, None), ("x", 2, 1, 1.0, "d", "t", None, None, None, "a word"), ("x", 2, 3, 0.2, "e", "s", None, None, None, "A WORD"),
+        ("x", 4, 1, 1.0, "d", None, None, None, None, "w"), ("x", 1, 11, 0.1, "a", None, None, None, None, None),
+    ]
+    got = {r["query_id"]: r for r in metrics.case_metrics(cases, spark.createDataFrame(found, hit), 10, ("x",)).collect()}
+    assert {q: (r["hit"], r["first_match_rank"], r["recall"], r["retrieval_count"]) for q, r in got.items()} == {1: (True, 2, 0.5, 2), 2: (True, 3, 1.0, 2), 3: (False, None, 0.0, 0), 4: (False, None, 0.0, 1)}
+    assert got[1]["mrr"] == 0.5 and got[1]["ndcg"] == pytest.approx(0.63093 / 1.63093, abs=1e-5) and got[1]["top_hit_chunk_id"] == "c" and got[3]["top_hit_chunk_id"] is None
+    total = metrics.strategy_summary(metrics.case_metrics(cases, spark.createDataFrame(found, hit), 10, ("x",))).first()
+    assert total["query_count"] == 4 and total["hit"] == 0.5 and total["retrieval_count"] == 1.25
+    assert metrics.case_metrics(cases, spark.createDataFrame([], hit), 10, ("x", "y")).where("not hit and ndcg = 0").count() == 8
+
+
+def test_answers_against_citations(spark):
+    df = spark.createDataFrame(
+        [("fee is ten dollars", "answer", ["c"], [], "The fee is ten dollars."), ("fee", "answer", [], ["fee"], "fee"), ("red fox", "abstain", [], None, None), ("green tree house", "answer", ["c"], ["other"], "nothing shared"), ("The fee", "answer", ["c"], ["the fee is due"], None)],
+        "a string, d string, c array<string>, s array<string>, t string",
+    )
+    assert [r[0] for r in df.select(metrics.cited_support(*(F.col(c) for c in "adcst"))).collect()] == [True, False, True, False, True]
+    labels = spark.createDataFrame([(True, "answer"), (True, "abstain"), (False, "answer"), (False, "abstain")], "d boolean, x string")
+    assert [r[0] for r in labels.select(metrics.answer_label(F.col("d"), F.col("x"))).collect()] == ["answered", "missed_answer", "wrongly_answered", "correct_abstention"]
