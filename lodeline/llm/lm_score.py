@@ -27,8 +27,10 @@ INNER = 1 << 14
 TABLE = 1 << 18
 #: Training: rounds over disjoint parts of the texts, which together hold all of them, positions of a step, rate.
 ROUNDS, TRAIN_STEP, RATE = 3, 8192, 0.6
-#: Positions scored at once, and rows of a gradient summed at once.
-STEP, PACK = 2048, 32
+#: Positions scored at once, rows of a stretch of a gradient that are summed in turn, and rows worked on at once, which stay in the processor's cache.
+STEP, PACK, NEAR = 2048, 32, 512
+#: Logits beyond which float32 exponentials, or sums of them, may overflow or vanish.
+FAR = 60.0
 CHUNK = 4 << 20
 _END = np.uint64(0x5EED0E0F0E0D5EED)
 
@@ -190,20 +192,27 @@ class Model:
         self.inner = flat[FEATURES * CLASSES :].reshape(INNER, GROUP)
 
     def outer_logits(self, rows: np.ndarray) -> np.ndarray:
-        z = self.outer[rows[:, 0]]
-        for k in range(1, rows.shape[1]):
-            z += self.outer[rows[:, k]]
-        z += self.outer_bias
-        return z
+        return _row_sums(self.outer, rows, self.outer_bias)
 
     def inner_logits(self, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-        z = self.inner[rows[:, 0]]
-        for k in range(1, rows.shape[1]):
-            z += self.inner[rows[:, k]]
-        z += self.inner_bias[group]
+        z = _row_sums(self.inner, rows)
+        z += self.inner_bias.take(group, axis=0)
         return z
 
 
+def _row_sums(weights: np.ndarray, rows: np.ndarray, start: np.ndarray | float = 0) -> np.ndarray:
+    """For each position the sum of its rows of the weights and of ``start``."""
+    columns = np.ascontiguousarray(rows.T)
+    out, spare = np.empty((len(rows), weights.shape[1]), weights.dtype), np.empty((NEAR, weights.shape[1]), weights.dtype)
+    for i in range(0, len(rows), NEAR):
+        z = out[i : i + NEAR]
+        weights.take(columns[0, i : i + NEAR], axis=0, out=z, mode="clip")
+        for column in columns[1:]:
+            z += weights.take(column[i : i + NEAR], axis=0, out=spare[: len(z)], mode="clip")
+        z += start
+    return out
+
+
 def contexts(symbols: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Feature rows of each position: the symbol before, those two and three back, and two pairs of them."""
     back = []
@@ -234,10 +243,22 @@ def _classes(symbols: np.ndarray) -> np.ndarray:
     return np.where(symbols < HEAD, symbols // GROUP, symbols - HEAD + GROUPS)
 
 
+def _exponentials(z: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Turns logits into exponentials, some rows at a time: they, their sums, and the logits at ``y``.
+
+    Only where a logit is far from zero, each row's greatest is taken off first.
+    """
+    one, places = np.ones(z.shape[1], z.dtype), np.arange(NEAR)
+    for i in range(0, len(z), NEAR):
+        e = z[i : i + NEAR]
+        if max(e.max(), -e.min()) > FAR:
+            e -= e.max(axis=1, keepdims=True)
+        at = e[places[: len(e)], y[i : i + NEAR]]
+        yield np.exp(e, out=e), e @ one, at
+
+
 def _log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    at = z[np.arange(len(y)), y]
-    return at - np.log(np.exp(z, out=z).sum(axis=1))
+    return np.concatenate([at - np.log(total) for _, total, at in _exponentials(z, y)])
 
 
 def log_probabilities(model: Model, symbols: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -254,42 +275,47 @@ def log_probabilities(model: Model, symbols: np.ndarray, firsts: np.ndarray) ->
     return out
 
 
-def _segment_sums(x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """Sums of the stretches of rows that begin where ``fresh`` is true.
+def _segment_sums(x: np.ndarray, fresh: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the stretches of rows (of ``x``, in this order if given) that begin where ``fresh`` is true.
 
-    Rows are taken by PACK: a product with the pack's 0/1 matrix sums them by
-    stretch, and stretches that go on in the next pack are added up at last.
+    Stretches are cut into pieces of PACK rows. The first rows of all pieces
+    are added to the second ones, then the third ones of those that have one,
+    and so on, the longest pieces first. Each row is so read and added once;
+    the sums of a stretch's pieces are then summed the same way.
     """
-    n, first = len(x), np.flatnonzero(fresh)
-    of = np.cumsum(fresh) - 1
-    over = -n % PACK
-    if over:
-        x, of = np.concatenate((x, np.zeros((over, x.shape[1]), x.dtype))), np.append(of, np.full(over, of[-1]))
-    of = of.reshape(-1, PACK)
-    base = of[:, 0]
-    within = of - base[:, None]
-    packs = (within[:, None, :] == np.arange(PACK)[None, :, None]).astype(x.dtype)
-    part = np.matmul(packs, x.reshape(len(of), PACK, -1)).reshape(len(of) * PACK, -1)
-    out = part[first // PACK * PACK + within.ravel()[first]]
-    going_on = np.flatnonzero(base[1:] == of[:-1, -1]) + 1
-    np.add.at(out, base[going_on], part[going_on * PACK])
-    return out
+    if order is None:
+        order = np.arange(len(x))
+    first = np.flatnonzero(fresh)
+    longs = np.diff(np.append(first, len(fresh)))
+    pieces = -(-longs // PACK)
+    past = PACK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    starts, sizes = np.repeat(first, pieces) + past, np.minimum(np.repeat(longs, pieces) - past, PACK)
+    by = np.argsort((PACK - sizes).astype(np.uint16), kind="stable")
+    starts, reach = starts[by], np.cumsum(np.bincount(sizes, minlength=PACK + 1)[::-1])[::-1].tolist()
+    out, spare = x.take(order[starts], axis=0), np.empty((NEAR, x.shape[1]), x.dtype)
+    for k in range(1, int(sizes.max())):
+        for i in range(0, reach[k + 1], NEAR):
+            j = min(i + NEAR, reach[k + 1])
+            out[i:j] += x.take(order[starts[i:j] + k], axis=0, out=spare[: j - i], mode="clip")
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    return out.take(back, axis=0) if len(by) == len(first) else _segment_sums(out, past == 0, back)
 
 
 def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, z: np.ndarray, y: np.ndarray) -> None:
     """One AdaGrad step on the cross entropy of some positions; ``seen`` sums each row's squared gradients."""
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z, out=z)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(y)), y] -= 1
+    for e, total, _ in _exponentials(z, y):
+        e /= total[:, None]
+    z[np.arange(len(y)), y] -= 1
     flat = rows.T.ravel().astype(np.uint16)  # two bytes are sorted by radix
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
     fresh = np.append(True, ranked[1:] != ranked[:-1])
-    gradient = _segment_sums(p.take(order % len(y), axis=0), fresh)
+    gradient = _segment_sums(z, fresh, order % len(y))
     ids = ranked[fresh]
     seen[ids] += np.einsum("ij,ij->i", gradient, gradient)
-    weights[ids] -= gradient * (RATE / np.sqrt(seen[ids] + 1.0))[:, None]
+    gradient *= (RATE / np.sqrt(seen[ids] + 1.0))[:, None]
+    weights[ids] = weights.take(ids, axis=0) - gradient
 
 
 def _positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -298,6 +299,41 @@ def test_segment_sums():
         assert np.allclose(lm_score._segment_sums(x, fresh), np.add.reduceat(x, np.flatnonzero(fresh), axis=0), atol=1e-4)
 
 
+def test_segment_sums_of_long_stretches_in_an_order():
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(3000, 5)).astype(np.float32), np.sort(np.minimum(rng.pareto(0.5, 9000).astype(int), 400))
+    fresh, order = np.append(True, ids[1:] != ids[:-1]), rng.integers(0, len(x), len(ids))
+    assert np.bincount(ids).max() > lm_score.PACK**2
+    want = np.add.reduceat(x[order].astype(np.float64), np.flatnonzero(fresh), axis=0)
+    assert np.allclose(lm_score._segment_sums(x, fresh, order), want, atol=1e-3)
+
+
+def test_segment_sums_cost_a_few_passes_over_the_rows():
+    """A training step's gradient is the costliest part of op3: it mustn't take many times as long as reading its rows once."""
+    rng = np.random.default_rng(4)
+    n = 5 * lm_score.TRAIN_STEP
+    x, ids = rng.normal(size=(n, lm_score.CLASSES)).astype(np.float32), np.sort(np.minimum(rng.pareto(0.4, n).astype(int), 7000))
+    fresh, order, spare = np.append(True, ids[1:] != ids[:-1]), rng.permutation(n), np.empty_like(x)
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    taken = [(seconds(lambda: lm_score._segment_sums(x, fresh)), seconds(lambda: x.take(order, axis=0, out=spare, mode="clip"))) for _ in range(15)]
+    assert min(a for a, _ in taken) < 2.5 * min(b for _, b in taken)
+
+
+def test_lm_log_softmax_of_far_logits():
+    rng = np.random.default_rng(5)
+    for far in (1, 59, 61, 200, 1e4):
+        small = (rng.uniform(-1, 1, (1300, 96)) * far).astype(np.float32)
+        small[0], y = -far, rng.integers(0, 96, 1300)
+        z = small.astype(np.float64)
+        want = z[np.arange(1300), y] - z.max(axis=1) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))
+        assert np.allclose(lm_score._log_softmax_at(small, y), want, rtol=1e-5, atol=1e-4)
+
+
 def test_lm_table_holds_the_most_frequent_words(spark, monkeypatch):
     counts = [(i, 1 + (i * i) % 997, i % 64) for i in range(400)]
     table = spark.createDataFrame(counts, "h long, c long, cls int")
