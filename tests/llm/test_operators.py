@@ -564,6 +564,36 @@ def test_piece_encoder_is_exact():
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_piece_encoder_needs_little_memory():
+    """One long text, and many texts with ever new words, need no more than a block and the memory of pieces."""
+    import tracemalloc
+
+    from lodeline.llm.common import spans
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer, rng = Tokenizer.from_file(path), np.random.default_rng(4)
+
+    def text(n, kinds):
+        return " ".join(f"w{k:x}" for k in rng.integers(0, kinds, n).tolist())
+
+    short = [text(400, 1 << 40) for _ in range(1200)]
+    long = text(800_000, 20_000) + "\n" + "x" * 100_000 + " \t  end"
+    for texts in ([long, "", "a b"], short):
+        encoder = token_output.PieceEncoder(path)
+        buf, offsets = utf8(pa.array(texts))
+        got = []
+        tracemalloc.start()
+        for i, j in spans(offsets, token_output.CHUNK):
+            ids, counts = encoder.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            got += zip(counts.tolist(), [zlib.crc32(x.tobytes()) for x in np.split(ids, np.cumsum(counts)[:-1])])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want = [np.array(x.ids, encoder.kind) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert got == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+        assert peak < 100e6, f"{peak / 1e6:.0f} MB"
+
+
 def test_pieces_that_hashes_confuse(monkeypatch):
     from tokenizers import Tokenizer
 
