@@ -67,7 +67,7 @@ class Engine:
         if plan.strategy != "dense":
             sparse = staged(spark, retrieval.bm25(self.index, asked, keep, corpus).select(*ranks), "sparse")
         if plan.strategy != "bm25" and self.vectors is not None and self.query_vectors is not None:
-            dense = retrieval.dense(self.vectors, self.query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), keep).select(*ranks)
+            dense = staged(spark, retrieval.dense(self.vectors, self.query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), keep).select(*ranks), "dense")
         none = asked.where(F.lit(False)).select("query_id", F.lit(0).cast("long").alias("chunk_idx"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         if plan.strategy in ("bm25", "dense"):
             hits = next((found for found in (sparse, dense) if found is not None), none)
@@ -76,7 +76,7 @@ class Engine:
             fused = fuse(sparse, none if dense is None else dense, (plan.bm25_weight, plan.dense_weight), keep)
             hits = staged(spark, fused.select(*ranks), "fused")
         if plan.strategy == "hybrid_rerank" and plan.rerank_top_n:
-            hits = retrieval.rerank(hits, self.corpus, asked, plan.rerank_top_n).select("query_id", "chunk_idx", "score", "rank")
+            hits = staged(spark, retrieval.rerank(hits, self.corpus, asked, plan.rerank_top_n).select("query_id", "chunk_idx", "score", "rank"), "reranked")
         hits = hits.where(F.col("rank") <= plan.top_k)
         return retrieval.expand_context(hits, self.corpus, plan.context_window).select("query_id", "chunk_idx", "score", "rank")
 

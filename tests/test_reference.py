@@ -140,6 +140,69 @@ def test_bm25_and_filters(spark, tmp_path):
     assert [r[1] for r in rows(retrieval.bm25(index, only, 3, corpus(spark)).select("query_id", "chunk_idx"))] == [2]
 
 
+def okapi(items, asked):
+    """Brute force over (chunk_idx, words) and (query_id, words): the scores above 0."""
+    from math import log
+
+    n, mean = len(items), sum(len(w) for _, w in items) / len(items)
+    df = {t: sum(t in w for _, w in items) for _, ws in items for t in ws}
+    raw = {t: log(n - k + 0.5) - log(k + 0.5) for t, k in df.items()}
+    idf = {t: 0.25 * sum(raw.values()) / len(raw) if r < 0 else r for t, r in raw.items()}
+    part = lambda t, w: idf.get(t, 0.0) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean))
+    return {(q, i): s for q, ts in asked for i, w in items if (s := sum(part(t, w) for t in ts)) > 0}
+
+
+def test_search_leaves_only_the_best_chunks(spark, monkeypatch):
+    import random
+
+    dice = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(dice.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=dice.randint(1, 40))), dice.choice(["en", "fr", "de"])) for i in range(300)]
+    asked = [(f"q{i}", " ".join(dice.choices(vocabulary, k=4))) for i in range(12)]
+    c = retrieval.as_corpus(spark.createDataFrame([(*t, "s") for t in texts], "doc_id long, text string, lang string, source string").repartition(3))
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    want = okapi([(i, ["paragraph", *t.split()]) for i, t, _ in texts], [(q, t.split()) for q, t in asked])
+    index = retrieval.build_index(c)
+    best = lambda ok: sorted((q, i, k + 1, round(s, 7)) for q, _ in asked for k, (s, i) in enumerate(sorted(((s, i) for (p, i), s in want.items() if p == q and ok(q, i)), key=lambda x: (-round(x[0], 9), x[1]))[:5]))
+    shown = lambda hits: rows(hits.select("query_id", "chunk_idx", "rank", F.round("raw", 7)), "query_id", "chunk_idx")
+    found = retrieval.bm25(index, queries, 5)
+    assert shown(found) == best(lambda q, i: True)
+    assert "keys=[query_id" not in found._jdf.queryExecution().toString()  # no pair of a query and a chunk is shuffled to be added up
+    none = "cast(null as array<string>)"
+    narrow = queries.withColumn("filters", F.expr(f"struct({none} as a, {none} as b, {none} as c, {none} as d, {none} as e, {none} as f, map('lang', array(if(query_id < 'q2', 'fr', 'de'))) as g)"))
+    allowed = best(lambda q, i: texts[i][2] == ("fr" if q < "q2" else "de"))
+    posted = retrieval.with_postings(index.postings, index.size, index.mean_length)
+    for one_pass in (True, False):
+        monkeypatch.setattr(retrieval, "ASKED_ROWS", 200_000 if one_pass else 25)
+        assert shown(retrieval.bm25(index, narrow, 5, c)) == allowed == shown(retrieval.bm25(posted, narrow, 5, c))
+    monkeypatch.setattr(retrieval, "HELD", 1)
+    assert shown(retrieval.bm25(index, queries, 5)) == best(lambda q, i: True)
+    holds = {(q, i) for q, t in asked for i, text, _ in texts if set(t.split()) <= set(text.split())}
+    assert {r[:2] for r in rows(retrieval.shared_words(index, queries, None))} == holds and holds
+
+
+def test_chunks_that_share_a_number(spark):
+    c = retrieval.as_corpus(spark.createDataFrame([(1, "red fox", "en", "s"), (1, "red wine jar", "en", "s"), (2, "red hat", "en", "s"), (None, "blue hat", "en", "s"), (3, "a b c", "en", "s")], "doc_id long, text string, lang string, source string"))
+    index = retrieval.build_index(c)
+    assert index.documents is None
+    asked = spark.createDataFrame([(1, "red fox"), (2, "blue")], "query_id long, query string")
+    assert rows(retrieval.bm25(index, asked, 5).select("query_id", "chunk_idx", "rank"), "query_id", "rank") == [(1, 1, 1), (1, 2, 2), (2, None, 1)]
+
+
+def test_gold_of_short_items_as_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["The red fox jumps over a wall.", "Redfox and hat", "a hat, a red fox", "nothing", "hats"] + [f"filler {i}" for i in range(8)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "red fox jumps"), (1, "hat"), (2, "red fox"), (3, "fox jumps over"), (4, "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = queries()["retrieval_eval"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()['retrieval_eval']}) ORDER BY query_id").fetchall()
+    assert [tuple(None if v is None else float(v) for v in r) for r in rows(got, "query_id")] == [tuple(None if v is None else float(v) for v in r) for r in want] and len(want) == 4
+
+
 def test_fusion_context_and_rerank(spark):
     a = spark.createDataFrame([(1, 10, 3.0, 1), (1, 11, 1.0, 2)], "query_id long, chunk_idx long, score double, rank int")
     b = spark.createDataFrame([(1, 11, 0.9, 1), (1, 12, 0.1, 2)], "query_id long, chunk_idx long, score double, rank int")
