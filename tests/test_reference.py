@@ -56,6 +56,37 @@ def test_tokens_and_sentences(spark):
     assert one(spark, X.text_quality(F.col("x")), x=None) == 0.0
 
 
+def test_words_and_quality_of_all_characters(spark):
+    """Against the counts of all matches, over each character that has a code of two bytes."""
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    texts = [("".join(chars[i::61]), "") for i in range(61)] + [("".join(c * (i % 3 + 1) for i, c in enumerate(chars[j : j + 700])), "") for j in range(0, len(chars), 700)] + [("", ""), (" \n", ""), ("a\u0085b?\r\nqx\u00a0", "")]
+    df = spark.createDataFrame(texts, "x string, y string")
+    x = F.col("x")
+    t = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    n = F.greatest(F.char_length(t), F.lit(1))
+    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
+    lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")), lambda v: v != "")
+    k = F.greatest(F.size(lines), F.lit(1))
+    part = lambda test: F.size(F.filter(lines, test)) / k
+    score = 0.25 * share(r"[^\p{C}\p{Zl}\p{Zp}\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]") + 0.25 * share(r"[\p{L}\p{N}]") + 0.10 * F.least(share(r"(?U)\s") / 0.15, F.lit(1.0))
+    score = score - 0.30 * share(r"[@#$%^&*_+=~`|<>\[\]{}]") - 0.50 * F.least(share(r"\?") * 10, F.lit(0.5)) - 0.20 * F.least(share("[qxwvQXWV]") * 5, F.lit(0.2))
+    score = score + 0.15 * F.least(F.aggregate(F.transform(lines, F.char_length), F.lit(0).cast("long"), lambda a, b: a + b) / k / 40.0, F.lit(1.0)) - 0.40 * part(lambda v: F.char_length(v) <= 5) - 0.30 * part(lambda v: F.char_length(v) == 1)
+    whole = F.when(t == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
+    found = df.select(X.text_quality(x).alias("a"), whole.alias("b"), X.words(x).alias("c"), F.regexp_extract_all(F.lower(x), F.lit(X.WORD), F.lit(0)).alias("d"), ingest.upper_share(x).alias("e"), F.when(F.regexp_count(x, F.lit(r"\p{L}")) > 0, F.regexp_count(x, F.lit(r"\p{Lu}")) / F.regexp_count(x, F.lit(r"\p{L}"))).otherwise(0.0).alias("f")).collect()
+    assert all(r.c == r.d and r.a == pytest.approx(r.b, abs=1e-12) and r.e == pytest.approx(r.f, abs=1e-12) for r in found) and any(r.a > 0 for r in found)
+
+
+def test_only_texts_with_labels_are_rated(spark, tmp_path):
+    from lodeline.plans import queries as plans
+
+    spark.createDataFrame([(i, "Some words of a text.", 21) for i in range(20)], "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (3, 0, 0), (5, 1, 1), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    graded = plans._graded(spark, str(tmp_path))
+    plan = graded._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(graded.select("doc_id", "quality"), "doc_id", "quality") == [(3, 0), (3, 1), (5, 1)]
+    assert plan.index("regexp_replace") < plan.index("Join")
+
+
 @pytest.mark.parametrize(
     "text, kind, number",
     [
