@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
+from lodeline.operators.retrieval import small
+from lodeline.sources.staging import staged
 
 #: Names of numbered parts of legal texts, and keys of metadata lines.
 LEGAL_PARTS = "chương|phần|mục|điều|khoản|điểm"
@@ -24,8 +26,7 @@ KEPT_TYPES = ("table", "image", "figure")
 
 
 def upper_share(t: Column) -> Column:
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(t, F.lit(r"\p{Lu}")) / letters).otherwise(0.0)
+    return X.let(X.char_count(t, r"\p{L}"), lambda letters: F.when(letters > 0, X.char_count(t, r"\p{Lu}") / letters).otherwise(0.0))
 
 
 def is_heading(text: Column) -> Column:
@@ -48,7 +49,7 @@ def is_list_item(text: Column) -> Column:
 
 def is_metadata(text: Column) -> Column:
     t = F.btrim(text)
-    return F.rlike(t, F.lit(r"(?U)^[^:\n]{1,80}:\s+\S+")) | X.starts_with_any(F.lower(t), tuple(k + ":" for k in METADATA_KEYS))
+    return F.rlike(t, F.lit(r"(?U)^[^:\n]{1,80}:\s+\S+")) | X.starts_with_any(F.lower(F.substr(t, F.lit(1), F.lit(40))), tuple(k + ":" for k in METADATA_KEYS))
 
 
 def block_type(text: Column, given: Column) -> Column:
@@ -81,13 +82,13 @@ def without_marker(text: Column) -> Column:
 
 
 def markdown(text: Column, kind: Column) -> Column:
-    t = X.inline(text)
-    return F.when(t == "", "").when(kind == "heading", F.concat(F.lit("## "), t)).when(kind == "list_item", F.concat(F.lit("- "), without_marker(t))).otherwise(t)
+    shown = lambda t: F.when(t == "", "").when(kind == "heading", F.concat(F.lit("## "), t)).when(kind == "list_item", F.concat(F.lit("- "), without_marker(t))).otherwise(t)
+    return X.let(X.inline(text), shown)
 
 
 def is_noise(text: Column) -> Column:
     t = F.btrim(text)
-    shout = (upper_share(t) >= 0.95) & (X.word_count(t) <= 3) & ~F.rlike(t, F.lit(_LEGAL)) & (F.char_length(t) <= 12)
+    shout = (F.char_length(t) <= 12) & (upper_share(t) >= 0.95) & (X.word_count(t) <= 3) & ~F.rlike(t, F.lit(_LEGAL))
     return (t == "") | F.rlike(t, F.lit(r"(?U)^\d{1,3}$")) | ((F.char_length(t) == 1) & ~F.rlike(t, F.lit(r"[\p{L}\p{N}]"))) | shout
 
 
@@ -113,9 +114,12 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
 
 def repeated_texts(blocks: DataFrame, min_pages: int = 3, ratio: float = 0.6, longest: int = 220) -> DataFrame:
-    """(doc_id, norm, pages, edge_hits) of short texts on many pages of a document, or on some, near an edge."""
-    shaped = blocks.select("doc_id", "page_index", X.matching_form(F.col("text")).alias("norm"), F.coalesce((F.col("y0") < 90) | (F.col("y1") > 720), F.lit(False)).alias("edge"))
-    totals = blocks.groupBy("doc_id").agg(F.countDistinct("page_index").alias("all_pages"))
+    """(doc_id, norm, pages, edge_hits) of short texts on many pages of a document, or on some, near an edge.
+
+    Only documents with enough pages are looked through.
+    """
+    totals = staged(blocks.sparkSession, blocks.groupBy("doc_id").agg(F.countDistinct("page_index").alias("all_pages")).where(F.col("all_pages") >= min_pages), "pages")
+    shaped = blocks.join(small(totals.select("doc_id")), "doc_id", "left_semi").select("doc_id", "page_index", X.matching_form(F.col("text")).alias("norm"), F.coalesce((F.col("y0") < 90) | (F.col("y1") > 720), F.lit(False)).alias("edge"))
     counted = shaped.where((F.col("norm") != "") & (F.char_length("norm") <= longest)).groupBy("doc_id", "norm").agg(
         F.countDistinct("page_index").alias("pages"), F.sum(F.col("edge").cast("long")).alias("edge_hits")
     )
@@ -129,9 +133,15 @@ def without_repeated(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def normalised(blocks: DataFrame) -> DataFrame:
-    """Inline text, inferred type, item number and Markdown; noise goes."""
-    one = blocks.withColumn("text", X.inline(F.col("text"))).withColumn("block_type", block_type(F.col("text"), F.col("block_type")))
-    return one.where(~is_noise(F.col("text"))).withColumn("item_number", item_number(F.col("text"))).withColumn("markdown", markdown(F.col("text"), F.col("block_type")))
+    """Inline text, inferred type, item number and Markdown; noise goes.
+
+    All of a block is made in one expression, so that no filter on it is
+    pushed below it and makes it again for each place where it is used.
+    """
+    more = lambda t, kind: F.struct(t.alias("text"), kind.alias("block_type"), item_number(t).alias("item_number"), markdown(t, kind).alias("markdown"))
+    one = lambda t: F.when(~is_noise(t), X.let(block_type(t, F.col("block_type")), lambda kind: more(t, kind)))
+    made = blocks.select("*", F.explode(F.array_compact(F.array(X.let(X.inline(F.col("text")), one)))).alias("made"))
+    return made.select(*(F.col(f"made.{c}").alias(c) if c in ("text", "block_type") else F.col(c) for c in blocks.columns), "made.item_number", "made.markdown")
 
 
 def _join(left: Column, right: Column) -> Column:
@@ -142,9 +152,9 @@ def _join(left: Column, right: Column) -> Column:
 
 def _goes_on(left: Column, right: Column) -> Column:
     lt, rt = F.btrim(left["text"]), F.btrim(right["text"])
-    open_end = ~F.rlike(lt, F.lit(r"[.!?;:]$")) | F.rlike(rt, F.lit(r"^\p{Ll}"))
+    open_end = ~F.rlike(F.right(lt, F.lit(3)), F.lit(r"[.!?;:]$")) | F.rlike(rt, F.lit(r"^\p{Ll}"))
     plain = ~is_metadata(lt) & ~is_metadata(rt) & ~is_heading(lt) & ~is_heading(rt) & ~is_list_item(lt) & ~is_list_item(rt)
-    return (left["page_index"] == right["page_index"]) & (left["block_type"] == "paragraph") & (right["block_type"] == "paragraph") & plain & open_end
+    return (left["page_index"] == right["page_index"]) & (left["block_type"] == "paragraph") & (right["block_type"] == "paragraph") & open_end & plain
 
 
 def gathered(blocks: DataFrame) -> DataFrame:
@@ -238,7 +248,8 @@ def chunks(documents: DataFrame, max_chars: int = 1200) -> DataFrame:
 
 def clean(blocks: DataFrame) -> DataFrame:
     """Repeated headers and footers, noise and broken paragraphs resolved: (doc_id, blocks)."""
-    return merged(gathered(normalised(without_repeated(blocks, repeated_texts(blocks)))))
+    repeated = staged(blocks.sparkSession, repeated_texts(blocks), "repeated")
+    return merged(gathered(normalised(without_repeated(blocks, small(repeated)))))
 
 
 def block_stats(blocks: DataFrame) -> DataFrame:

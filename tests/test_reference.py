@@ -87,6 +87,14 @@ def test_only_texts_with_labels_are_rated(spark, tmp_path):
     assert plan.index("regexp_replace") < plan.index("Join")
 
 
+def test_a_line_is_made_once(spark):
+    made = ingest.normalised(blocks(spark, [(0, "paragraph", "•  one  item"), (0, "paragraph", "12"), (0, "table", "a | b")]))
+    assert rows(made.select("text", "block_type", "markdown"), "reading_order") == [("• one item", "heading", "## • one item"), ("a | b", "table", "a | b")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("•, •") <= 3  # for the text, and for Markdown of it
+    exploded = ingest.clean(blocks(spark, [(0, "paragraph", "one"), (1, "paragraph", "two")]))
+    assert exploded._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # no document has three pages, so nothing is counted
+
+
 @pytest.mark.parametrize(
     "text, kind, number",
     [
